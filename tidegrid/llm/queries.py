@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from tidegrid.llm import langid, quality
 from tidegrid.llm.bpe import encode_documents
 from tidegrid.llm.common import read_table
+from tidegrid.llm.mixing import mix_documents
+from tidegrid.llm.sharding import shard_documents
 from tidegrid.llm.simhash import simhash_components
 
 
@@ -36,12 +38,22 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, langid.learn_from_documents(docs))
 
 
+def op7_sampled_splitter_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_documents(read_table(spark, sf_dir, "documents"))
+
+
+def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_documents(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash_near_dedup": op1_simhash_near_dedup,
         "op2_quality_classifier": op2_quality_classifier,
         "op3_bpe_encode_decode": op3_bpe_encode_decode,
         "op5_language_id": op5_language_id,
+        "op7_sampled_splitter_sharding": op7_sampled_splitter_sharding,
+        "op8_source_mixing": op8_source_mixing,
     }
 
 
