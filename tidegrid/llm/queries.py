@@ -9,9 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from tidegrid.llm import langid, quality
 from tidegrid.llm.bpe import encode_documents
 from tidegrid.llm.common import read_table
+from tidegrid.llm.embeddings import embedding_components
+from tidegrid.llm.licenses import scan_documents
 from tidegrid.llm.mixing import mix_documents
 from tidegrid.llm.sharding import shard_documents
 from tidegrid.llm.simhash import simhash_components
+from tidegrid.llm.sketches import fingerprint_documents
+from tidegrid.llm.warc import archive_pages
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,11 +37,19 @@ def op3_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(read_table(spark, sf_dir, "documents"), byte_bpe_path(), with_ids=False)
 
 
+def op4_warc_dictionary_writer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_pages(read_table(spark, sf_dir, "pages"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return langid.identify(docs, langid.learn_from_documents(docs))
 
 
+def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_components(read_table(spark, sf_dir, "embeddings"))
+
+
 def op7_sampled_splitter_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(read_table(spark, sf_dir, "documents"))
 
@@ -46,14 +58,26 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_documents(read_table(spark, sf_dir, "documents"))
+
+
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_documents(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash_near_dedup": op1_simhash_near_dedup,
         "op2_quality_classifier": op2_quality_classifier,
         "op3_bpe_encode_decode": op3_bpe_encode_decode,
+        "op4_warc_dictionary_writer": op4_warc_dictionary_writer,
         "op5_language_id": op5_language_id,
+        "op6_embedding_near_dedup": op6_embedding_near_dedup,
         "op7_sampled_splitter_sharding": op7_sampled_splitter_sharding,
         "op8_source_mixing": op8_source_mixing,
+        "op9_document_fingerprints": op9_document_fingerprints,
+        "op10_license_scan": op10_license_scan,
     }
 
 
