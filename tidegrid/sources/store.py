@@ -78,7 +78,7 @@ def write_cells(grid: Grid, cells: DataFrame | None = None, mode: str = "append"
     """Cells by time chunk, each in files of whole fraction ranges, sorted, so that row groups prune by fraction and pixel."""
     cells = grid.cells if cells is None else cells
     dealt = cells.withColumn("_part", F.pmod(F.hash("frac_num"), F.lit(files_per_chunk))).repartition("time_chunk", "_part").drop("_part")
-    rows = dealt.select("y", "x", "t", F.col("value").cast(grid.header.value_type).alias("value"), "frac_num", "time_chunk")
+    rows = dealt.select(*[F.col(c).cast("int").alias(c) for c in ("y", "x", "t")], F.col("value").cast(grid.header.value_type).alias("value"), *[F.col(c).cast("int").alias(c) for c in ("frac_num", "time_chunk")])
     writer = rows.sortWithinPartitions("time_chunk", "frac_num", "y", "x", "t").write.partitionBy("time_chunk")
     if mode == "overwrite":
         writer = writer.option("partitionOverwriteMode", "dynamic")

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegrid.functions.dates import format_date, parse_date
+from tidegrid.plans.header import SPARK_TYPES
 
 
 def read_dates(spark: SparkSession, path: str) -> DataFrame:
@@ -40,7 +41,7 @@ def list_files(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path")
 
 
-def cells_of_array(spark: SparkSession, array: np.ndarray, chunk: int = 1 << 20) -> DataFrame:
+def cells_of_array(spark: SparkSession, array: np.ndarray) -> DataFrame:
     """(y, x, t, value) of an array in memory: (height, width) or (height, width, dates)."""
     array = array[:, :, None] if array.ndim == 2 else array
     if array.ndim != 3:
@@ -48,7 +49,8 @@ def cells_of_array(spark: SparkSession, array: np.ndarray, chunk: int = 1 << 20)
     import pandas as pd
 
     y, x, t = (a.reshape(-1).astype("int32") for a in np.indices(array.shape))
-    return spark.createDataFrame(pd.DataFrame({"y": y, "x": x, "t": t, "value": array.reshape(-1)}))
+    kind = SPARK_TYPES[np.dtype(array.dtype).str[1:]]
+    return spark.createDataFrame(pd.DataFrame({"y": y, "x": x, "t": t, "value": array.reshape(-1)}), f"y int, x int, t int, value {kind}")
 
 
 def asset_path(name: str) -> str:
