@@ -194,12 +194,12 @@ def in_bounds_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cubes.points(spark, sf_dir).select("c_custkey", x.alias("x"), y.alias("y")).where(A.in_bounds("x", "y", 15, 100))
 
 
-@query("SELECT * FROM (VALUES (0), (1), (2), (3), (4), (5)) v(frac_num)")
+@query("SELECT DISTINCT CAST((y // 5) * 3 + x // 5 AS INT) AS frac_num FROM range(2, 8) a(y), range(4, 11) b(x)")
 def rect_fracs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(f,) for f in HEADER.fracs_for_rect(4, 2, 11, 8)], "frac_num int")
 
 
-@query("SELECT * FROM (VALUES (0), (1), (2), (3), (4), (5)) v(frac_num)")
+@query("SELECT DISTINCT CAST((y // 5) * 3 + x // 5 AS INT) AS frac_num FROM range(1, 9) a(y), range(1, 13) b(x)")
 def poly_bbox_fracs(spark: SparkSession, sf_dir: str) -> DataFrame:
     grid = cubes.events(spark, sf_dir)
     return spark.createDataFrame([(f,) for f in mask.fracs_for_polygon(grid, QUAD)], "frac_num int")
@@ -413,26 +413,25 @@ def collect_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.collect_dates(_files(spark, sf_dir), "h05v06")
 
 
-FEW_SQL = f"{FILES_SQL}, few AS (SELECT * FROM files WHERE h < 3)"
-MISSING_SQL = f"""{FEW_SQL}, gone AS (SELECT d.ts_ms, t.tile FROM (SELECT DISTINCT ts_ms FROM few) d, (SELECT DISTINCT tile FROM few) t
- WHERE NOT EXISTS (SELECT 1 FROM few f WHERE f.ts_ms = d.ts_ms AND f.tile = t.tile))"""
+MISSING_SQL = f"""{FILES_SQL}, gone AS (SELECT d.ts_ms, t.tile FROM (SELECT DISTINCT ts_ms FROM files) d, (SELECT DISTINCT tile FROM files) t
+ EXCEPT SELECT ts_ms, tile FROM files)"""
 
 
 @query(f"WITH {MISSING_SQL} SELECT ts_ms, strftime(make_timestamp(ts_ms * 1000), '%Y_%m_%d') AS day, CAST(strftime(make_timestamp(ts_ms * 1000), '%j') AS INT) AS doy, tile FROM gone")
 def missing_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return files.missing_dates(_files(spark, sf_dir).where("h < 3"))
+    return files.missing_dates(_files(spark, sf_dir))
 
 
 @query(f"WITH {MISSING_SQL} SELECT tile, ts_ms, 'MOD13Q1.A' || strftime(make_timestamp(ts_ms * 1000), '%Y%j') || '.' || tile || '.005.0000000000000.hdf' AS name, -3000 AS ndvi, 65535 AS qa FROM gone")
 def fake_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return files.fake_missing(_files(spark, sf_dir).where("h < 3"))
+    return files.fake_missing(_files(spark, sf_dir))
 
 
-@query(f"WITH {FILES_SQL} SELECT path AS name, tile FROM files r WHERE h < 9 AND NOT EXISTS (SELECT 1 FROM files l WHERE l.satellite = 'myd13q1' AND lower(l.path) = lower(r.path))")
+@query(f"WITH {FILES_SQL} SELECT path AS name, tile FROM files r WHERE NOT EXISTS (SELECT 1 FROM files l WHERE l.satellite = 'myd13q1' AND lower(l.path) = lower(r.path))")
 def files_to_download(spark: SparkSession, sf_dir: str) -> DataFrame:
     remote = _files(spark, sf_dir)
     local = remote.where("satellite = 'myd13q1'").select("path")
-    return files.to_download(remote.where("h < 9").select(F.col("path").alias("name"), "tile"), local)
+    return files.to_download(remote.select(F.col("path").alias("name"), "tile"), local)
 
 
 @query(f"WITH {FILES_SQL} SELECT path, ts_ms FROM files WHERE ts_ms IN (SELECT ts_ms FROM files WHERE tile = 'h05v06')")
