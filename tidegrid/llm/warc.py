@@ -25,7 +25,7 @@ from tidegrid.llm.common import bounded_batches, new_path, stored
 #: Fixed values of the formats: magic numbers of the dictionary's skippable frame and of a trained dictionary.
 SKIPPABLE, TRAINED = 0x184D2A5D, 0xEC30A437
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: Bounds of the sample that the dictionary is trained on, and its size.
+#: Bounds of the sample that the dictionary is trained on (rows in expectation, bytes of each), and its size.
 SAMPLE_ROWS, SAMPLE_BYTES, DICTIONARY_BYTES = 2000, 1 << 16, 1 << 16
 LEVEL = 3
 DATE = "2024-01-01T00:00:00Z"
@@ -108,7 +108,9 @@ def build_dictionary(samples: list[bytes], size: int = DICTIONARY_BYTES) -> byte
         return b"".join(samples)[-size:]
 
 
-def dictionary_of(data: bytes) -> zstandard.ZstdCompressionDict:
+def dictionary_of(data: bytes) -> zstandard.ZstdCompressionDict | None:
+    if not data:
+        return None
     trained = len(data) >= 4 and struct.unpack("<I", data[:4])[0] == TRAINED
     return zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_FULLDICT if trained else zstandard.DICT_TYPE_RAWCONTENT)
 
@@ -160,8 +162,9 @@ def write_archives(pages: DataFrame, folder: str | None = None) -> DataFrame:
     spark = pages.sparkSession
     bounded_batches(spark)
     folder = folder or new_path(spark, "warc")
-    sample = pages.where(F.octet_length("html") <= SAMPLE_BYTES).orderBy(F.xxhash64("page_id"), "page_id").limit(SAMPLE_ROWS).select("page_id", "url", "html")
-    samples = [record(r.page_id, r.url, r.html, None, False) for r in sample.collect()]
+    share = F.pmod(F.xxhash64("page_id", "url"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    sample = pages.where((F.octet_length("html") <= SAMPLE_BYTES) & (share * F.lit(pages.count()) < SAMPLE_ROWS)).limit(2 * SAMPLE_ROWS)
+    samples = sorted(record(r.page_id, r.url, r.html, None, False) for r in sample.select("page_id", "url", "html").collect())
     made = roles(pages).mapInArrow(_write_batches(folder, build_dictionary(samples)), MANIFEST)
     return stored(made, "warc-manifest")
 
