@@ -65,7 +65,7 @@ def fold(doc_id: Column | str, folds: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(folds)).cast("int")
 
 
-def prefix_sums(df: DataFrame, group: list[str], order: str, values: dict[str, str], ties: list[str], bucket_rows: int = 50_000) -> DataFrame:
+def prefix_sums(df: DataFrame, group: list[str], order: str, values: dict[str, str], ties: list[str], bucket_rows: int = 4_000) -> DataFrame:
     """Adds, for each name in ``values``, the sum of the named column over the rows that stand before.
 
     ``order`` is a column of doubles in [0, 1), spread evenly in each group except for ties;
