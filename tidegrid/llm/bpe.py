@@ -140,44 +140,60 @@ class Automaton:
         self.table = kept  # by class of the arc, a bit for each state
 
     def _spell(self, base: list[int], made: set[int]) -> None:
-        """The arcs' labels as a table of byte transitions: arcs[node << 8 | byte] is the next node, tokens[node] what ends there."""
-        self.arcs: dict[int, int] = {}
-        self.tokens = [-1]
-        for t in chain(base, sorted(made)):
-            node = 0
-            for byte in self.labels[t]:
-                key = node << 8 | byte
-                if key not in self.arcs:
-                    self.arcs[key] = len(self.tokens)
-                    self.tokens.append(-1)
-                node = self.arcs[key]
-            self.tokens[node] = t
+        """The arcs' labels as byte transitions: a node maps a byte to (token that ends there or -1, next node)."""
+        self.arcs: dict[int, tuple] = {}
+        for t in sorted(chain(base, made), key=lambda t: (len(self.labels[t]), self.labels[t])):
+            node = self.arcs
+            for byte in self.labels[t][:-1]:
+                if byte not in node:
+                    node[byte] = (-1, {})
+                node = node[byte][1]
+            last = self.labels[t][-1]
+            node[last] = (t, node[last][1] if last in node else {})
         self.row_list, self.column_list = self.rows.tolist(), self.columns.tolist()
         self.flat, self.stride = self.table.tobytes(), self.table.shape[1]
 
+    def _from(self, word: bytes, i: int) -> list[tuple[int, int]]:
+        """(token, end) of the arcs whose labels stand at a position, shortest first."""
+        out, node, j = [], self.arcs, i
+        for byte in word[i:] if i else word:
+            found = node.get(byte)
+            if found is None:
+                break
+            j += 1
+            t, node = found
+            if t >= 0:
+                out.append((t, j))
+        return out
+
     def encode_word(self, word: bytes) -> list[int]:
-        """The token sequence that the automaton accepts for these bytes."""
-        arcs, tokens, flat, stride = self.arcs, self.tokens, self.flat, self.stride
-        rows, columns = self.row_list, self.column_list
+        """The token sequence that the automaton accepts for these bytes.
+
+        The longest arc that the state allows is taken first. A prefix has one accepted sequence, so a position that was
+        reached once and led nowhere is not reached again, and each is left at most once.
+        """
+        flat, stride, rows, columns = self.flat, self.stride, self.row_list, self.column_list
         n = len(word)
-        last, back = [-1] * (n + 1), [0] * (n + 1)
-        for i in range(n):
-            state = rows[last[i] if i else self.start]
+        seen = bytearray(n + 1)
+        out: list[int] = []
+        held: list[tuple[list, int]] = []
+        state, arcs = rows[self.start], self._from(word, 0)
+        while True:
             byte, bit = state >> 3, state & 7
-            node = 0
-            for j in range(i, n):
-                node = arcs.get(node << 8 | word[j], -1)
-                if node < 0:
+            while arcs:
+                t, end = arcs.pop()
+                if not seen[end] and flat[columns[t] * stride + byte] >> bit & 1:
                     break
-                t = tokens[node]
-                if t >= 0 and flat[columns[t] * stride + byte] >> bit & 1:
-                    last[j + 1], back[j + 1] = t, i
-        out, j = [], n
-        while j:
-            out.append(last[j])
-            j = back[j]
-        out.reverse()
-        return out
+            else:
+                arcs, state = held.pop()
+                out.pop()
+                continue
+            out.append(t)
+            if end == n:
+                return out
+            seen[end] = 1
+            held.append((arcs, state))
+            state, arcs = rows[t], self._from(word, end)
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.labels.__getitem__, ids))
@@ -188,10 +204,11 @@ class Words(dict):
 
     def __init__(self, automaton: Automaton) -> None:
         self.automaton = automaton
+        self.names = list(map(str, range(len(automaton.labels))))
 
     def __missing__(self, word: str) -> tuple[str, list[int], bytes]:
         ids = self.automaton.encode_word(word.encode("utf-8", "surrogatepass"))
-        found = (",".join(map(str, ids)), ids, self.automaton.decode(ids))
+        found = (",".join([self.names[i] for i in ids]), ids, self.automaton.decode(ids))
         if len(word) <= CACHE_LENGTH:
             if len(self) >= CACHE_WORDS:
                 self.clear()
