@@ -111,6 +111,7 @@ def scan_documents(docs: DataFrame, templates: list[tuple[str, str]] | None = No
     named = F.filter(F.array(*[F.when(F.size(c) > 0, F.lit(label)) for c, (label, _) in zip(starts, PHRASES)]), lambda x: x.isNotNull())
     base = base.select("doc_id", "row", F.size("words").cast("bigint").alias("n_words"), every.alias("starts"), F.array_sort(F.array_distinct(named)).alias("base"))
     found = spans(docs, templates).groupBy("row").agg(F.collect_set("label").alias("more"), F.max("similarity").alias("best"))
+    found = stored(found, "license-labels")  # a row for each text with a span: its size decides how it is joined
     both = base.join(found, "row", "left")
     labels = F.array_sort(F.array_union("base", F.coalesce("more", F.array().cast("array<string>"))))
     return both.select(
