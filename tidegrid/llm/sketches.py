@@ -17,7 +17,7 @@ from tidegrid.llm.shingles import rolling_hashes, white_words
 WIDTH = 5
 SIZE = 128
 SPACE = float(1 << 32)
-BUCKET_BYTES = 8 << 20  # of texts that stand together while each looks for its next
+BUCKET_BYTES = 2 << 20  # of texts that stand together while each looks for its next
 MOST_BUCKETS = 1 << 14
 LEAST_ID = -(1 << 63)
 
