@@ -67,6 +67,21 @@ def collect_dates(files: DataFrame, tile: str, satellite: str | None = None) ->
     return files.select(format_date("ts_ms").alias("day")).distinct().orderBy("day")
 
 
+def date_span(files: DataFrame) -> DataFrame:
+    """(tile, first, last): the earliest and latest day of each tile's files."""
+    per = files.groupBy("tile").agg(F.min("ts_ms").alias("first"), F.max("ts_ms").alias("last"))
+    return per.select("tile", format_date("first").alias("first"), format_date("last").alias("last"))
+
+
+def model_file(files: DataFrame) -> DataFrame:
+    """(tile, path): the earliest file of each tile, the first by name of several."""
+    return files.groupBy("tile").agg(F.min(F.struct("ts_ms", "path")).alias("m")).select("tile", "m.path")
+
+
+def of_both_satellites(terra: DataFrame, aqua: DataFrame) -> DataFrame:
+    return terra.unionByName(aqua)
+
+
 def requested(files: DataFrame, dates: DataFrame) -> DataFrame:
     """Only files of the wanted dates (ts_ms)."""
     return files.join(dates.select("ts_ms").distinct(), "ts_ms", "left_semi")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegrid.functions.addressing import int_div
+from tidegrid.functions.layouts import MODIS
 from tidegrid.operators.grid import Grid
 from tidegrid.plans.header import Header
 
@@ -86,5 +87,24 @@ def file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(name.alias("path")).distinct()
 
 
+OBSERVATIONS_SQL = """obs AS (
+  SELECT 'h' || lpad(CAST(l_suppkey % 3 + 5 AS VARCHAR), 2, '0') || 'v08' AS tile, epoch_ms(date_trunc('month', l_shipdate)) AS ts_ms,
+         CAST(l_partkey % 700 AS INT) AS i, CAST(l_orderkey % 900 AS INT) AS j, CAST(max(l_quantity) * 100 AS INT) AS ndvi,
+         CAST(max((l_orderkey * 40503 + l_partkey * 9973 + l_linenumber * 7919) % 65536) AS INT) AS qa
+  FROM lineitem GROUP BY 1, 2, 3, 4)"""
+MONTHS = tuple(ms for ms in (694_224_000_000, 725_846_400_000, 757_382_400_000, 788_918_400_000, 820_454_400_000, 852_076_800_000))
+NDVI = Header("ndvi", "ndvi", MODIS.width, MODIS.height, MODIS.cell_width, MODIS.cell_height, 6, 4, "<i2", -3000, MODIS.geot, projection=MODIS.projection, timestamps_ms=MONTHS)
+QA = NDVI.copy(grid="qa", root="qa", dtype="<u2", nodata=65535)
+
+
+def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Observations of three world tiles by month."""
+    month = F.unix_date(F.trunc(F.to_date("l_shipdate"), "month")).cast("bigint") * DAY_MS
+    word = (F.col("l_orderkey") * 40503 + F.col("l_partkey") * 9973 + F.col("l_linenumber") * 7919) % 65536
+    tile = F.concat(F.lit("h"), F.lpad((F.col("l_suppkey") % 3 + 5).cast("string"), 2, "0"), F.lit("v08"))
+    rows = table(spark, sf_dir, "lineitem").select(tile.alias("tile"), month.alias("ts_ms"), (F.col("l_partkey") % 700).cast("int").alias("i"), (F.col("l_orderkey") % 900).cast("int").alias("j"), "l_quantity", word.alias("word"))
+    return rows.groupBy("tile", "ts_ms", "i", "j").agg((F.max("l_quantity") * 100).cast("int").alias("ndvi"), F.max("word").cast("int").alias("qa"))
+
+
 def tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "nation").select((F.col("n_nationkey") + 5).cast("int").alias("h"), (F.col("n_nationkey") % 18).cast("int").alias("v"))

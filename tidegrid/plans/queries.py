@@ -15,9 +15,9 @@ from tidegrid.functions.arrays import gather, masked
 from tidegrid.operators import align, files, lifecycle, mask
 from tidegrid.operators.grid import Grid
 from tidegrid.plans import cubes
-from tidegrid.plans.cubes import CLASS_SQL, DAY_MS, EVENTS_SQL, FILES_SQL, FIRST_DAY_MS, HEADER, LINEITEM_SQL, POINTS_SQL
+from tidegrid.plans.cubes import CLASS_SQL, DAY_MS, EVENTS_SQL, FILES_SQL, FIRST_DAY_MS, HEADER, LINEITEM_SQL, OBSERVATIONS_SQL, POINTS_SQL
 from tidegrid.plans.header import catalog, dates
-from tidegrid.sources import regions
+from tidegrid.sources import regions, tiles
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -26,6 +26,8 @@ SQL: dict[str, str] = {}
 QUAD = [(1, 1), (13, 3), (9, 9), (3, 8), (1, 1)]
 WINDOW = ((4, 2), (11, 8), 3, 21)
 MODIS_SQL = "(-4800 * 231.65635826374995::DOUBLE * 36 / 2)", "231.65635826374995::DOUBLE", "(4800 * 231.65635826395834::DOUBLE * 18 / 2)", "(-231.65635826395834::DOUBLE)"
+QA_SQL = "qa AS (SELECT CAST((l_orderkey * 40503 + l_partkey * 9973 + l_linenumber * 7919) % 65536 AS INT) AS q, CAST(l_quantity AS BIGINT) AS value, CAST(l_suppkey % 15 AS INT) AS x, CAST(l_partkey % 100 AS INT) AS y FROM lineitem)"
+MODIS_QA_SQL = "CASE WHEN q & 3 = 3 OR (q >> 6) & 3 = 3 OR (q >> 8) & 1 = 1 OR (q >> 10) & 1 = 1 OR (q >> 11) & 7 <> 1 OR (q >> 14) & 1 = 1 OR (q >> 15) & 1 = 1 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE - ((q >> 2) & 15) / 12.0::DOUBLE END"
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
@@ -335,9 +337,6 @@ def regions_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Quality bits, land cover
 
-QA_SQL = "qa AS (SELECT CAST((l_orderkey * 40503 + l_partkey * 9973 + l_linenumber * 7919) % 65536 AS INT) AS q, CAST(l_quantity AS BIGINT) AS value, CAST(l_suppkey % 15 AS INT) AS x, CAST(l_partkey % 100 AS INT) AS y FROM lineitem)"
-MODIS_QA_SQL = "CASE WHEN q & 3 = 3 OR (q >> 6) & 3 = 3 OR (q >> 8) & 1 = 1 OR (q >> 10) & 1 = 1 OR (q >> 11) & 7 <> 1 OR (q >> 14) & 1 = 1 OR (q >> 15) & 1 = 1 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE - ((q >> 2) & 15) / 12.0::DOUBLE END"
-
 
 @query(f"WITH {QA_SQL} SELECT q, round({MODIS_QA_SQL}, 6) AS conf, count(*) AS n FROM qa GROUP BY 1, 2")
 def modis_qa_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -434,6 +433,36 @@ def files_to_download(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.to_download(remote.select(F.col("path").alias("name"), "tile"), local)
 
 
+@query(f"WITH {FILES_SQL} SELECT tile, strftime(make_timestamp(min(ts_ms) * 1000), '%Y_%m_%d') AS first, strftime(make_timestamp(max(ts_ms) * 1000), '%Y_%m_%d') AS last FROM files GROUP BY 1")
+def date_span(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.date_span(_files(spark, sf_dir))
+
+
+@query(f"WITH {FILES_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY tile ORDER BY ts_ms, path) AS k FROM files) SELECT tile, path FROM r WHERE k = 1")
+def model_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.model_file(_files(spark, sf_dir))
+
+
+@query(f"WITH {FILES_SQL} SELECT satellite, path FROM files")
+def union_satellites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = cubes.file_names(spark, sf_dir)
+    return files.of_both_satellites(files.source_files(paths, satellite="terra"), files.source_files(paths, satellite="aqua")).select("satellite", "path")
+
+
+@query(f"WITH {OBSERVATIONS_SQL} SELECT tile, ts_ms, i, j, ndvi, qa FROM obs WHERE tile = 'h06v08' AND i >= 400 AND i < 800 AND j >= 0 AND j < 400")
+def tile_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cell = (8 * 12 + 1) * 432 + 6 * 12
+    return tiles.cell_window(spark, cubes.observations(spark, sf_dir), "h06v08", cell)
+
+
+@query(f"""WITH {OBSERVATIONS_SQL}, axis AS (SELECT * FROM (VALUES {', '.join(f'({t}, {ms})' for t, ms in enumerate(cubes.MONTHS))}) v(t, ts_ms)),
+g AS (SELECT CAST(8 * 4800 + i AS INT) AS y, CAST(CAST(substr(tile, 2, 2) AS INT) * 4800 + j AS INT) AS x, t, ndvi, qa AS q FROM obs JOIN axis USING (ts_ms))
+SELECT CAST((y // 400) * 432 + x // 400 AS INT) AS frac_num, CAST(t // 4 AS INT) AS time_chunk, y, x, t, CAST(ndvi AS SMALLINT) AS ndvi, q AS qa, round({MODIS_QA_SQL}, 6) AS conf FROM g""")
+def create_ndvi_qa(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pair = tiles.ndvi_qa_grids(cubes.observations(spark, sf_dir), cubes.NDVI, cubes.QA)
+    return align.join_aligned(list(pair), ["ndvi", "qa"]).withColumn("conf", F.round(qa.modis_confidence("qa"), 6))
+
+
 @query(f"WITH {FILES_SQL} SELECT path, ts_ms FROM files WHERE ts_ms IN (SELECT ts_ms FROM files WHERE tile = 'h05v06')")
 def requested_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _files(spark, sf_dir)
