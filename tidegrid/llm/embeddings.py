@@ -28,7 +28,7 @@ WIDTH = BITS // TABLES
 NEAR = 18  # differing bits of candidates at most
 BLOCK = 64
 LEAST = 0.93
-#: Vectors that the rotation is learned on, those of the least hash: the bound of the sample.
+#: Vectors that the rotation is learned on, in expectation, drawn by a hash: the bound of the sample.
 SAMPLE, ROUNDS, SEED = 20_000, 40, 20240307
 CROWD = 512  # a bucket of more vectors names all pairs of its blocks
 
@@ -152,10 +152,14 @@ def _rerank_batches(least: float):
         forest = Forest()
         for batch in batches:
             counts: dict[int, int] = {}
-            for a, b, left, right in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                for x, y in _comparable(left, right):
-                    cosine = x[2] @ y[2].T
-                    hit = cosine >= least
+            groups: dict[tuple, int] = {}
+            left, right = _blocks(batch.column(2), groups), _blocks(batch.column(3), groups)
+            for a, b, lefts, rights in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), left, right):
+                for group, x in lefts.items():
+                    if group not in rights:
+                        continue
+                    y = rights[group]
+                    hit = x[2] @ y[2].T >= least
                     if a == b:
                         np.fill_diagonal(hit, False)
                     i, j = np.nonzero(hit)
@@ -174,20 +178,35 @@ def _rerank_batches(least: float):
     return run
 
 
-def _comparable(left: list[dict], right: list[dict]) -> Iterator[tuple[tuple, tuple]]:
-    """(ids, copies, unit vectors) of either block, for each label and dimension that both have."""
-
-    def parts(block: list[dict]) -> dict[tuple, tuple]:
-        by: dict[tuple, list[dict]] = {}
-        for v in block:
-            by.setdefault((v["label"], len(v["vector"])), []).append(v)
-        return {k: (np.array([v["cid"] for v in vs]), np.array([v["copies"] for v in vs]), _units([v["vector"] for v in vs])) for k, vs in by.items()}
-
-    a = parts(left)
-    b = a if left is right else parts(right)
-    for key, x in a.items():
-        if key in b:
-            yield x, b[key]
+def _blocks(column: pa.ListArray, groups: dict[tuple, int]) -> list[dict[int, tuple]]:
+    """For each block (ids, copies, unit vectors) by group: its vectors of one label and length. ``groups`` numbers the groups of a batch."""
+    starts = column.offsets.to_numpy()
+    first, last = int(starts[0]), int(starts[-1])
+    members = column.values.slice(first, last - first)
+    cid, copies, label, vector = (members.field(k) for k in ("cid", "copies", "label", "vector"))
+    cid, copies = cid.to_numpy(), copies.to_numpy()
+    ends = vector.offsets.to_numpy()
+    sizes = np.diff(ends)
+    flat = vector.values.to_numpy()
+    named = label.dictionary_encode()
+    label_of, names = named.indices.to_numpy(), named.dictionary.to_pylist()
+    group = np.zeros(len(cid), dtype=np.int64)
+    units: dict[int, np.ndarray] = {}
+    at = np.zeros(len(cid), dtype=np.int64)
+    for d in np.unique(sizes).tolist():
+        mine = np.flatnonzero(sizes == d)
+        units[d] = _units(flat[ends[mine][:, None] + np.arange(d)[None, :]])
+        at[mine] = np.arange(len(mine))
+        for k in np.unique(label_of[mine]).tolist():
+            group[mine[label_of[mine] == k]] = groups.setdefault((names[k], d), len(groups))
+    out = []
+    for lo, hi in zip(starts[:-1] - first, starts[1:] - first):
+        block = {}
+        for g in np.unique(group[lo:hi]).tolist():
+            rows = lo + np.flatnonzero(group[lo:hi] == g)
+            block[g] = (cid[rows], copies[rows], units[int(sizes[rows[0]])][at[rows]])
+        out.append(block)
+    return out
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -211,7 +230,8 @@ def embedding_components(vectors: DataFrame, least: float = LEAST) -> DataFrame:
     rows = rows.withColumn("cid", F.when(usable(rows), F.xxhash64("label", "embedding")))
     classes = rows.where("cid is not null").groupBy("cid").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"), F.any_value("label").alias("label"), F.any_value("embedding").alias("vector"))
     classes = stored(classes, "vector-classes")
-    sample = classes.select("cid", "vector").orderBy(F.xxhash64("cid"), "cid").limit(SAMPLE).collect()
+    share = F.pmod(F.xxhash64("cid"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    sample = sorted(classes.select("cid", "vector").where(share * F.lit(classes.count()) < SAMPLE).collect())
     by: dict[int, list[list[float]]] = {}
     for r in sample:
         by.setdefault(len(r["vector"]), []).append(r["vector"])
@@ -221,7 +241,7 @@ def embedding_components(vectors: DataFrame, least: float = LEAST) -> DataFrame:
     group = F.xxhash64("label", F.size("vector"))
     thin = coded.join(classes.select("cid", group.alias("group")), "cid")
     key = F.pmod("group", F.lit(1 << 11)) * F.lit(1 << 52) + F.shiftrightunsigned("code", 12)
-    thin = stored(thin.select("cid", "group", "code", key.alias("key"), F.col("cid").alias("doc_id"), F.col("code").alias("text_crc32"), F.lit(1).cast("bigint").alias("size")), "vector-codes")
+    thin = stored(thin.select("cid", "group", "code", key.alias("key"), F.col("cid").alias("doc_id"), F.col("code").alias("text_crc32"), F.lit(1).cast("bigint").alias("size"), F.lit(0).cast("bigint").alias("range")), "vector-codes")
     inside = Window.partitionBy("range").orderBy("key", "cid")
     block = F.col("range") * F.lit(1 << 20) + F.floor((F.row_number().over(inside) - 1) / BLOCK)
     thin = stored(ranged(thin, 20_000).withColumn("block", block.cast("bigint")).select("cid", "group", "code", "block"), "vector-blocks")
