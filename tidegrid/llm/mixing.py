@@ -69,15 +69,25 @@ def split_quotas(quotas: DataFrame, depth: int = DEPTH, seed: int = SEED) -> Dat
     return level.select(F.col("node").cast("int").alias("shard"), "sid", "quota")
 
 
-def plan(docs: DataFrame, depth: int = DEPTH, blocks: int = BLOCKS, seed: int = SEED) -> DataFrame:
-    """The mix's decisions: a row for each distinct (doc_id, source, text), with ``copies`` such rows in the table.
-
-    Columns: doc_id, row, copies, size, source_size, target, times, and shard_1, shard_2: where the first and
-    the second taking go.
-    """
+def _units(docs: DataFrame) -> DataFrame:
+    """(doc_id, source, row, size, copies): the distinct rows of the table."""
     text = F.col("text").cast("string")
     thin = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), row_key(text).alias("row"), n_words(text).alias("size"))
-    units = stored(thin.groupBy("doc_id", "source", "row", "size").agg(F.count("*").alias("copies")), "mix-units")
+    return stored(thin.groupBy("doc_id", "source", "row", "size").agg(F.count("*").alias("copies")), "mix-units")
+
+
+def _place(row: Column, seed: int) -> Column:
+    """A row's place in its source's permuted order, from 0 to UNIT."""
+    return F.pmod(F.xxhash64(F.lit(seed), row), F.lit(UNIT))
+
+
+def decide(docs: DataFrame, depth: int = DEPTH, blocks: int = BLOCKS, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
+    """(decisions, blocks): a row for each distinct (doc_id, source, text), and the shard of each source's blocks (sid, block, shard).
+
+    Decisions are doc_id, source, sid, row, place, copies, size, source_size, target, times, and block_1, block_2: the
+    blocks that the first and the second taking are in.
+    """
+    units = _units(docs)
     sizes = units.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("source_size"))
     named = targets(sizes)
     per_block = F.greatest(F.lit(1.0), F.sum("target").over(Window.partitionBy()) / F.lit(float(blocks)))
@@ -89,8 +99,8 @@ def plan(docs: DataFrame, depth: int = DEPTH, blocks: int = BLOCKS, seed: int =
     dealt = leaves.withColumn("first", first).select("sid", "shard", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("quota") - 1)).alias("block"))
     dealt = stored(dealt, "mix-blocks")
 
-    known = units.alias("u").join(named.alias("s"), F.col("u.source").eqNullSafe(F.col("s.source"))).select("u.doc_id", "u.row", "u.size", "u.copies", "s.sid", "s.source_size", "s.target", "s.quota")
-    known = known.withColumns({"words": F.col("size") * F.col("copies"), "ord": F.pmod(F.xxhash64(F.lit(seed), "row"), F.lit(UNIT)) / F.lit(float(UNIT))})
+    known = units.alias("u").join(named.alias("s"), F.col("u.source").eqNullSafe(F.col("s.source"))).select("u.doc_id", "u.source", "u.row", "u.size", "u.copies", "s.sid", "s.source_size", "s.target", "s.quota")
+    known = known.withColumns({"words": F.col("size") * F.col("copies"), "place": _place(F.col("row"), seed)}).withColumn("ord", F.col("place") / F.lit(float(UNIT)))
     placed = prefix_sums(known, ["sid"], "ord", {"before": "words"}, ["row", "doc_id"])
     full = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
     rest = F.col("target") - F.col("full") * F.col("source_size")
@@ -102,6 +112,12 @@ def plan(docs: DataFrame, depth: int = DEPTH, blocks: int = BLOCKS, seed: int =
         return F.when(F.col("times") > turn, F.least(F.col("quota") - 1, F.floor(at)))
 
     placed = placed.withColumns({f"block_{turn + 1}": block(turn) for turn in range(MOST)})
+    return placed.select("doc_id", "source", "sid", "row", "place", "copies", "size", "source_size", "target", "times", *[f"block_{t}" for t in range(1, MOST + 1)]), dealt
+
+
+def plan(docs: DataFrame, depth: int = DEPTH, blocks: int = BLOCKS, seed: int = SEED) -> DataFrame:
+    """The decisions with shard_1 and shard_2: where the first and the second taking go."""
+    placed, dealt = decide(docs, depth, blocks, seed)
     for turn in range(1, MOST + 1):
         where = dealt.select("sid", F.col("block").alias(f"block_{turn}"), F.col("shard").alias(f"shard_{turn}"))
         placed = placed.join(where, ["sid", f"block_{turn}"], "left")
@@ -121,15 +137,57 @@ def mix_documents(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"), F.col("times").cast("int").alias("times"), "shard_1", "shard_2")
 
 
+def _stretches(docs: DataFrame, seed: int) -> DataFrame:
+    """(source, last_1, from_1, last_2, from_2): what a source's takings are, told by places in its permuted order.
+
+    The k-th taking goes over the places up to last_k, null if there is none; from_k holds the first place and the shard of each
+    block, in order. Together no more than two entries a block: about BLOCKS, whatever the corpus.
+    """
+    placed, dealt = decide(docs, seed=seed)
+    at = F.struct("place", "row")
+    rows = None
+    for turn in range(1, MOST + 1):
+        mine = placed.where(F.col("times") >= turn).select("source", "sid", F.lit(turn).alias("turn"), F.col(f"block_{turn}").alias("block"), at.alias("at"))
+        rows = mine if rows is None else rows.unionByName(mine)
+    firsts = rows.groupBy("source", "sid", "turn", "block").agg(F.min("at").alias("first"), F.max("at").alias("last"))
+    firsts = firsts.join(dealt, ["sid", "block"], "left")
+    per = firsts.groupBy("source", "sid", "turn").agg(F.max("last").alias("last"), F.sort_array(F.collect_list(F.struct("first", "shard"))).alias("from"))
+    out = None
+    for turn in range(1, MOST + 1):
+        mine = per.where(F.col("turn") == turn).select("source", "sid", F.col("last").alias(f"last_{turn}"), F.col("from").alias(f"from_{turn}"))
+        out = mine if out is None else out.join(mine.drop("source"), "sid", "left")
+    return out.drop("sid")
+
+
+def _shard_at(starts: Column, at: Column) -> Column:
+    """The shard of the last stretch that starts at or before a place, by halving."""
+
+    def halve(acc: Column, _: Column) -> Column:
+        middle = F.floor((acc["low"] + acc["high"]) / 2).cast("int")
+        beyond = F.get(starts, middle)["first"] > at
+        go = acc["low"] < acc["high"]
+        return F.struct(F.when(go & ~beyond, middle + 1).otherwise(acc["low"]).alias("low"), F.when(go & beyond, middle).otherwise(acc["high"]).alias("high"))
+
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(starts) + 1)).cast("int"))
+    found = F.aggregate(steps, F.struct(F.lit(0).alias("low"), F.size(starts).alias("high")), halve)["low"]
+    return F.get(starts, found - 1)["shard"]
+
+
 def draw(docs: DataFrame, seed: int = SEED) -> DataFrame:
-    """The mix: the rows of ``docs``, all columns as they are, each as often as it is taken, by shard and shuffled in it."""
+    """The mix: the rows of ``docs``, all columns as they are, each as often as it is taken, by shard and shuffled in it.
+
+    A row's takings follow from its place in its source's order, so texts are not joined to decisions: they move once, to their shard.
+    """
     spark = docs.sparkSession
-    decided = stored(plan(docs, seed=seed).where("times > 0"), "mix-plan")
-    turns = F.filter(F.array(*[F.struct(F.lit(t).alias("turn"), F.col(f"shard_{t}").alias("shard")) for t in range(1, MOST + 1)]), lambda s: s["turn"] <= F.col("times"))
-    turns = decided.select(F.col("row").alias("_mix_row"), F.explode(turns).alias("_mix"))
-    turns = turns.groupBy("_mix_row").agg(F.collect_list("_mix").alias("_mix"))  # at most MOST to a row
-    kept = docs.withColumn("_mix_row", row_key(F.col("text").cast("string"))).join(turns, "_mix_row")
-    kept = kept.withColumn("_mix", F.explode("_mix")).withColumn("_mix_place", F.xxhash64(F.lit(seed + 1), "_mix_row", "_mix.turn"))
+    stretches = stored(_stretches(docs, seed), "mix-stretches")  # a row for each source: its size decides how it is joined
+    text = F.col("text").cast("string")
+    rows = docs.withColumn("_mix_row", row_key(text)).withColumn("_mix_at", F.struct(_place(F.col("_mix_row"), seed).alias("place"), F.col("_mix_row").alias("row")))
+    rows = rows.join(stretches.select(*[F.col(c).alias("_mix_" + c) for c in stretches.columns]), F.col("source").cast("string").eqNullSafe(F.col("_mix_source")))
+    turns = [F.when(F.col("_mix_at") <= F.col(f"_mix_last_{t}"), F.struct(F.lit(t).alias("turn"), _shard_at(F.col(f"_mix_from_{t}"), F.col("_mix_at")).alias("shard"))) for t in range(1, MOST + 1)]
+    rows = rows.withColumn("_mix", F.explode(F.filter(F.array(*turns), lambda s: s.isNotNull())))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    dealt = kept.withColumn("_mix_shard", F.col("_mix.shard")).repartitionByRange(parts, "_mix_shard", "_mix_place")
-    return dealt.sortWithinPartitions("_mix_shard", "_mix_place").select(*docs.columns)
+    pieces = 4 * parts  # of each shard's shuffled order
+    rows = rows.withColumn("_mix_place", F.pmod(F.xxhash64(F.lit(seed + 1), "_mix_row", "_mix.turn"), F.lit(UNIT)))
+    rows = rows.withColumns({"_mix_shard": F.col("_mix.shard"), "_mix_piece": F.floor(F.col("_mix_place") * pieces / F.lit(float(UNIT)))})
+    dealt = rows.repartition(parts, "_mix_shard", "_mix_piece").sortWithinPartitions("_mix_shard", "_mix_place")
+    return dealt.select(*docs.columns)
