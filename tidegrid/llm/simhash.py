@@ -26,7 +26,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegrid.llm.common import bounded_batches, connected_components, stored
@@ -129,14 +129,18 @@ def fingerprint(text: str | None, width: int = 4) -> int:
 def _print_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         prints = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(prints, pa.int64())], names=["doc_id", "print"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(prints, pa.int64())], names=["doc_id", "row", "print"])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, print) for every row; ``print`` holds the 64 bits as a signed long. A null text has no words: 0."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row: Column | None = None) -> DataFrame:
+    """(doc_id, row, print) for every row; ``print`` holds the 64 bits as a signed long. A null text has no words: 0.
+
+    ``row`` is any long that the caller wants to know a row by; null if not given.
+    """
     bounded_batches(docs.sparkSession)
-    thin = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return thin.mapInArrow(_print_batches, "doc_id bigint, print bigint")
+    row = F.lit(None) if row is None else row
+    thin = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"), row.cast("bigint").alias("row"))
+    return thin.mapInArrow(_print_batches, "doc_id bigint, row bigint, print bigint")
 
 
 def _key_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,19 +269,20 @@ def links(prints: DataFrame, limit: int = LIMIT) -> DataFrame:
     return dealt.mapInArrow(_link_batches(limit), "a bigint, b bigint")
 
 
-def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT) -> DataFrame:
-    """(doc_id, fingerprint, component_id, n_links_class) for every row of ``docs``.
+def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT, row: Column | None = None) -> DataFrame:
+    """(doc_id, fingerprint, component_id) for every row of ``docs``, and ``row`` where it is given.
 
     Equal fingerprints collapse first, so copies cost one row whatever their number. component_id is the
     smallest doc_id that links reach. Defined cases: null and empty texts and texts of white space have
     fingerprint zero and link like any other; repeated rows each come back; a null doc_id never names a
     component unless the component has no other; an empty table gives no rows; other columns are ignored.
     """
-    prints = stored(fingerprints(docs, id_col, text_col), "prints")
+    prints = stored(fingerprints(docs, id_col, text_col, row), "prints")
     classes = stored(prints.groupBy("print").agg(F.min("doc_id").alias("least")), "classes")
     found = stored(links(classes.select("print"), limit), "links")
     labels = connected_components(found)
     joined = classes.join(labels.withColumnRenamed("node", "print"), "print", "left").withColumn("component", F.coalesce("component", "print"))
     names = joined.groupBy("component").agg(F.min("least").alias("component_id"))
     by_class = joined.join(names, "component").select("print", "component_id")
-    return prints.join(by_class, "print").select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+    columns = ["doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id"]
+    return prints.join(by_class, "print").select(*columns, *([] if row is None else ["row"]))
