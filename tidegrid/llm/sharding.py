@@ -23,7 +23,7 @@ UNIT = 1 << 30
 
 
 def keyed(docs: DataFrame, carry: list[str]) -> DataFrame:
-    """(doc_id, size, text_crc32, key, carried) for every row."""
+    """(doc_id, size, text_crc32, key, range, carried) for every row; at first all rows are one range."""
     text = F.col("text").cast("string")
     checksum = F.crc32(F.coalesce(text, F.lit("")).cast("binary"))
     doc_id = F.col("doc_id").cast("bigint")
@@ -32,39 +32,51 @@ def keyed(docs: DataFrame, carry: list[str]) -> DataFrame:
         (F.coalesce(F.octet_length(text), F.lit(0)).cast("bigint") + 1).alias("size"),
         checksum.alias("text_crc32"),
         (checksum * F.lit(1 << 31) + F.pmod(F.xxhash64(doc_id), F.lit(1 << 31))).alias("key"),
+        F.lit(0).cast("bigint").alias("range"),
         *([F.struct(*carry).alias("carried")] if carry else []),
     )
 
 
 def _splitters(rows: DataFrame, ranges: DataFrame) -> DataFrame:
-    """(range, cuts): ascending keys that cut each of ``ranges`` (range, bytes) into up to FAN parts of like bytes."""
-    expected = F.col("size") * F.lit(float(SAMPLES)) / F.col("bytes")
+    """(range, cuts): ascending keys that cut each of ``ranges`` (range, n, bytes, lo) into up to FAN parts.
+
+    A row is drawn by its share of the range's bytes and, to a half, of its rows, so that parts are even in both. The least key
+    above the range's lowest is a cut too: it parts a key that would fill all quantiles from what follows.
+    """
+    inside = rows.join(ranges, "range")
+    expected = (F.col("size") / F.col("bytes") + 1 / F.col("n")) * F.lit(SAMPLES / 2.0)
     chance = F.pmod(F.xxhash64("doc_id", "text_crc32", "range"), F.lit(UNIT)) / F.lit(float(UNIT))
     weight = F.floor(expected) + (chance < expected - F.floor(expected)).cast("bigint")
-    drawn = rows.join(ranges, "range").select("range", "key", weight.alias("weight")).where("weight > 0")
+    drawn = inside.select("range", "key", weight.alias("weight")).where("weight > 0")
     upto = Window.partitionBy("range").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
     place = F.coalesce(F.sum("weight").over(upto), F.lit(0)) * FAN / F.sum("weight").over(Window.partitionBy("range"))
     firsts = drawn.select("range", "key", F.floor(place).alias("part")).groupBy("range", "part").agg(F.min("key").alias("cut"))
-    return firsts.where("part > 0").groupBy("range").agg(F.sort_array(F.collect_set("cut")).alias("cuts"))
+    second = inside.where("key > lo").groupBy("range").agg(F.min("key").alias("cut"))
+    cuts = firsts.where("part > 0").select("range", "cut").unionByName(second)
+    return cuts.groupBy("range").agg(F.sort_array(F.collect_set("cut")).alias("cuts"))
 
 
 def _cut(cuts: Column) -> Column:
-    """How many of at most FAN ascending cuts are not above the key."""
+    """How many of the few ascending cuts are not above the key."""
     return F.size(F.filter(cuts, lambda c: c <= F.col("key"))).cast("bigint")
 
 
 def ranged(rows: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
-    """Adds ``range``: numbers in key order, no range of more than ``range_rows`` rows unless its keys are all equal."""
-    rows = rows.withColumn("range", F.lit(0).cast("bigint"))
+    """Stored rows with finer values of ``range``: numbers in key order, no range of more than ``range_rows`` rows unless its keys are all equal."""
+    level = 0
     while True:
         sums = rows.groupBy("range").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), F.min("key").alias("lo"), F.max("key").alias("hi"))
-        over = stored(sums.where((F.col("n") > range_rows) & (F.col("lo") < F.col("hi"))).select("range", "bytes"), "overfull")
+        over = stored(sums.where((F.col("n") > range_rows) & (F.col("lo") < F.col("hi"))).select("range", "n", "bytes", "lo"), "overfull")
         if not over.take(1):
             return rows
+        if level:  # keep the numbers small: count the ranges anew, a row for each
+            number = sums.select("range", (F.row_number().over(Window.orderBy("range")) - 1).cast("bigint").alias("number"))
+            rows = stored(rows.join(number, "range").drop("range").withColumnRenamed("number", "range"), "renumbered")
+            over = stored(over.join(number, "range").drop("range").withColumnRenamed("number", "range"), "overfull")
         cuts = stored(_splitters(rows, over), "splitters")
         part = F.when(F.col("cuts").isNull(), F.lit(0)).otherwise(_cut(F.col("cuts"))).cast("bigint")
-        rows = rows.join(cuts, "range", "left").withColumn("range", F.col("range") * FAN + part).drop("cuts")
-        rows = stored(rows, "ranged")
+        rows = rows.join(cuts, "range", "left").withColumn("range", F.col("range") * (FAN + 2) + part).drop("cuts")
+        rows, level = stored(rows, "ranged"), level + 1
 
 
 def shard_documents(docs: DataFrame, shards: int = SHARDS, carry: list[str] | None = None, range_rows: int = RANGE_ROWS) -> DataFrame:
