@@ -59,6 +59,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema])).parquet(path)
 
 
+def clean_up(spark: SparkSession) -> None:
+    """Removes the tables that this application has written to the shared folder. Results that read them must be written first."""
+    context = spark.sparkContext
+    place = context._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/tidegrid/{context.applicationId}")
+    place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def fold(doc_id: Column | str, folds: int) -> Column:
     """crc32 of the id as text, modulo the number of folds; a null id counts as an empty text."""
     doc_id = F.col(doc_id) if isinstance(doc_id, str) else doc_id
