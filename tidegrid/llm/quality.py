@@ -24,9 +24,9 @@ FACTORS = 4
 BINS = 16
 FOLDS, HELD_OUT = 5, 0
 THRESHOLD = 0.3
-#: Labelled rows that the machine is trained on: the bound of the sample, drawn by a hash of the id.
+#: Labelled rows that the machine is trained on, in expectation: the bound of the sample, drawn by a hash of the id.
 TRAIN_ROWS = 8192
-EPOCHS, BATCH, RATE, SHRINK = 12, 256, 0.15, 1e-4
+EPOCHS, BATCH, RATE, SHRINK = 40, 256, 0.2, 1e-5
 SEED = 20240229
 STATISTICS = ("words", "word_length", "distinct", "top_word", "upper", "digits", "marks", "marked_words", "lines", "line_repeats", "high_bytes", "declared", "runs")
 DIMENSION = (1 << WORD_BITS) + BINS * len(STATISTICS)
@@ -160,15 +160,16 @@ def _feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 
 def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Machine:
-    """A machine from at most ``rows`` labelled documents outside the held-out fold, those of the least hash of the id.
+    """A machine from labelled documents outside the held-out fold: ``rows`` of them in expectation, by a hash of the id, or all if there are fewer.
 
     Null labels and ids teach nothing; a document with several labels counts by their majority, and not at all on a tie.
     """
     bounded_batches(docs.sparkSession)
     known = labels.where("doc_id is not null and quality is not null").where(fold("doc_id", FOLDS) != HELD_OUT)
     voted = known.groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.avg("quality").alias("mean")).where("mean <> 0.5")
-    chosen = voted.select("doc_id", (F.col("mean") > 0.5).cast("double").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    chosen = stored(chosen, "quality-sample")
+    voted = stored(voted.select("doc_id", (F.col("mean") > 0.5).cast("double").alias("label")), "quality-labels")
+    share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    chosen = stored(voted.where(share * F.lit(voted.count()) < rows), "quality-sample")
     thin = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("n_chars").cast("bigint").alias("n_chars"))
     sample = thin.join(chosen, "doc_id").select("doc_id", "text", "n_chars", "label")
     made = sample.mapInArrow(_feature_batches, "doc_id bigint, label double, at array<bigint>, x array<double>")
@@ -178,7 +179,7 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Machine
 
 
 def _lists(column: pa.ChunkedArray) -> Iterator[np.ndarray]:
-    for chunk in column.chunks:
+    for chunk in filter(len, column.chunks):
         flat, ends = chunk.flatten().to_numpy(zero_copy_only=False), chunk.value_lengths().to_numpy(zero_copy_only=False).cumsum()
         yield from np.split(flat, ends[:-1])
 
