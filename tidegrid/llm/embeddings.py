@@ -1,9 +1,9 @@
 """Embedding near-duplicates by iterative quantisation and multi-index Hamming tables.
 
-A rotation is learned on a bounded sample so that the signs of the rotated vectors are balanced binary codes of
-64 bits that keep angles. The code is cut into TABLES substrings; each vector goes under its substring and all that differ
-from it in one bit, so two vectors meet in a table when their substrings differ in at most two bits. Vectors
-that meet and whose codes are near are candidates. The rerank is exact: candidates name pairs of blocks of up to BLOCK
+Rotations are learned on a bounded sample so that the signs of the rotated vectors are balanced binary codes of
+64 bits that keep angles; there are CODES of them, from different starts. Each code is cut into TABLES substrings; each vector goes
+under its substring and all that differ from it in one bit, so two vectors meet in a table when their substrings differ
+in at most two bits. Vectors that meet and whose codes are near are candidates. The rerank is exact: candidates name pairs of blocks of up to BLOCK
 vectors that stand together in code order, and all pairs of the two blocks are compared by their
 original components. So a dense group costs block pairs, not pairs of rows, and only counts of links and a spanning
 forest leave a task.
@@ -23,13 +23,14 @@ from tidegrid.llm.common import bounded_batches, connected_components, stored
 from tidegrid.llm.sharding import ranged
 from tidegrid.llm.simhash import Forest
 
-BITS, TABLES = 64, 4
+BITS, TABLES, CODES = 64, 4, 2
 WIDTH = BITS // TABLES
 NEAR = 18  # differing bits of candidates at most
 BLOCK = 64
 LEAST = 0.93
 #: Vectors that the rotation is learned on, in expectation, drawn by a hash: the bound of the sample.
 SAMPLE, ROUNDS, SEED = 20_000, 40, 20240307
+CODE_NAMES = ["code", *[f"code_{k}" for k in range(2, CODES + 1)]]
 CROWD = 512  # a bucket of more vectors names all pairs of its blocks
 
 
@@ -52,17 +53,21 @@ def learn_rotation(sample: np.ndarray, seed: int = SEED) -> np.ndarray:
 
 
 class Codes:
-    """A rotation for each dimension of the sample; other dimensions get one without learning."""
+    """CODES rotations for each dimension of the sample; other dimensions get theirs without learning."""
 
-    def __init__(self, rotations: dict[int, np.ndarray]) -> None:
-        self.rotations = rotations
+    def __init__(self, samples: dict[int, np.ndarray]) -> None:
+        self.rotations = {d: self._learned(x) for d, x in samples.items()}
 
-    def of(self, vector: np.ndarray) -> np.ndarray:
-        """Codes (n,) of unit vectors (n, dimension)."""
-        d = vector.shape[1]
+    @staticmethod
+    def _learned(sample: np.ndarray) -> np.ndarray:
+        return np.concatenate([learn_rotation(sample, SEED + k) for k in range(CODES)], axis=1)
+
+    def of(self, vectors: np.ndarray) -> np.ndarray:
+        """Codes (n, CODES) of unit vectors (n, dimension)."""
+        d = vectors.shape[1]
         if d not in self.rotations:
-            self.rotations[d] = learn_rotation(np.zeros((0, d)), SEED + d)
-        return np.packbits(vector @ self.rotations[d] >= 0, axis=1, bitorder="little").view("<u8").reshape(-1)
+            self.rotations[d] = self._learned(np.zeros((0, d)))
+        return np.packbits(vectors @ self.rotations[d] >= 0, axis=1, bitorder="little").view("<u8")
 
 
 def _units(vectors: list[np.ndarray]) -> np.ndarray:
@@ -75,12 +80,13 @@ def _code_batches(codes: Codes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             vectors = batch.column(1).to_pylist()
-            found = np.zeros(len(vectors), dtype=np.uint64)
+            found = np.zeros((len(vectors), CODES), dtype=np.uint64)
             sizes = np.array([len(v) for v in vectors])
             for d in np.unique(sizes):
                 at = np.flatnonzero(sizes == d)
                 found[at] = codes.of(_units([vectors[i] for i in at]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["cid", "code"])
+            columns = [pa.array(found[:, k].copy().view(np.int64)) for k in range(CODES)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["cid", *CODE_NAMES])
 
     return run
 
@@ -88,11 +94,11 @@ def _code_batches(codes: Codes):
 def _key_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     flips = np.concatenate([[0], 1 << np.arange(WIDTH)]).astype(np.uint64)
     for batch in batches:
-        group, code, block = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-        bits = code.view(np.uint64)
-        for t in range(TABLES):
-            part = (bits >> np.uint64(t * WIDTH)) & np.uint64((1 << WIDTH) - 1)
-            keys = (part[:, None] ^ flips[None, :]).astype(np.int64) | (t << WIDTH) | ((group & 0xFFFFFFFFFF) << (WIDTH + 2))[:, None]
+        group, block, *codes = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2 + CODES))
+        for t in range(TABLES * CODES):
+            code = codes[t // TABLES]
+            part = (code.view(np.uint64) >> np.uint64(t % TABLES * WIDTH)) & np.uint64((1 << WIDTH) - 1)
+            keys = (part[:, None] ^ flips[None, :]).astype(np.int64) | (t << WIDTH) | ((group & 0xFFFFFFFFFF) << (WIDTH + 4))[:, None]
             each = len(flips)
             yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), pa.array(np.repeat(code, each)), pa.array(np.repeat(block, each))], names=["key", "code", "block"])
 
@@ -235,19 +241,19 @@ def embedding_components(vectors: DataFrame, least: float = LEAST) -> DataFrame:
     by: dict[int, list[list[float]]] = {}
     for r in sample:
         by.setdefault(len(r["vector"]), []).append(r["vector"])
-    codes = Codes({d: learn_rotation(_units(vs)) for d, vs in sorted(by.items())})
+    codes = Codes({d: _units(vs) for d, vs in sorted(by.items())})
 
-    coded = classes.select("cid", "vector").mapInArrow(_code_batches(codes), "cid bigint, code bigint")
+    coded = classes.select("cid", "vector").mapInArrow(_code_batches(codes), "cid bigint" + "".join(f", {c} bigint" for c in CODE_NAMES))
     group = F.xxhash64("label", F.size("vector"))
     thin = coded.join(classes.select("cid", group.alias("group")), "cid")
     key = F.pmod("group", F.lit(1 << 11)) * F.lit(1 << 52) + F.shiftrightunsigned("code", 12)
-    thin = stored(thin.select("cid", "group", "code", key.alias("key"), F.col("cid").alias("doc_id"), F.col("code").alias("text_crc32"), F.lit(1).cast("bigint").alias("size"), F.lit(0).cast("bigint").alias("range")), "vector-codes")
+    thin = stored(thin.select("cid", "group", *CODE_NAMES, key.alias("key"), F.col("cid").alias("doc_id"), F.col("code").alias("text_crc32"), F.lit(1).cast("bigint").alias("size"), F.lit(0).cast("bigint").alias("range")), "vector-codes")
     inside = Window.partitionBy("range").orderBy("key", "cid")
     block = F.col("range") * F.lit(1 << 20) + F.floor((F.row_number().over(inside) - 1) / BLOCK)
-    thin = stored(ranged(thin, 20_000).withColumn("block", block.cast("bigint")).select("cid", "group", "code", "block"), "vector-blocks")
+    thin = stored(ranged(thin, 20_000).withColumn("block", block.cast("bigint")).select("cid", "group", "block", *CODE_NAMES), "vector-blocks")
 
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    dealt = thin.select("group", "code", "block").mapInArrow(_key_batches, "key bigint, code bigint, block bigint")
+    dealt = thin.select("group", "block", *CODE_NAMES).mapInArrow(_key_batches, "key bigint, code bigint, block bigint")
     pairs = dealt.repartition(parts, "key").sortWithinPartitions("key", "code").mapInArrow(_pair_batches, "a bigint, b bigint").distinct()
     members = classes.join(thin.select("cid", "block"), "cid").groupBy("block").agg(F.collect_list(F.struct("cid", "copies", "label", "vector")).alias("members"))  # BLOCK at most
     members = stored(members, "vector-members")
