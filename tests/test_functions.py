@@ -59,10 +59,10 @@ def test_other_text_is_no_date(spark):
 
 def test_source_file_names(spark):
     good = "/x/2000/MOD13Q1.A2000065.h29v07.005.2008238013448.hdf"
-    parts = names.source_file(F.lit(good))
+    parts = names.source_file(names.source_parts(F.lit(good)))
     assert one(spark, *parts.values()) == ("mod13q1", "h29v07", 29, 7, 952214400000, None)
     for bad, why in [("MOD13Q1.A2000065.h29v07.006.2008238013448.hdf", "collection"), ("MOD13Q1.A2000400.h29v07.005.2008238013448.hdf", "date"), ("MOD11A1.hdf", "name"), ("MOD13Q1.A200065.h29v07.005.2008238013448.hdf", "name")]:
-        assert one(spark, *names.source_file(F.lit(bad)).values()) == (None, None, None, None, None, why)
+        assert one(spark, *names.source_file(names.source_parts(F.lit(bad))).values()) == (None, None, None, None, None, why)
 
 
 def test_tiles(spark):

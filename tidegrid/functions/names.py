@@ -24,22 +24,29 @@ def basename(path: Column | str) -> Column:
     return F.element_at(F.split(_col(path), "/"), -1)
 
 
-def source_file(path: Column | str) -> dict[str, Column]:
-    """satellite, tile, h, v, ts_ms and problem of a source file by its name, without regard to case.
+def source_parts(path: Column | str) -> Column:
+    """satellite, date, h, v and collection of a source file's name, without regard to case, by one match; null for any other name."""
+    parts = F.split(F.regexp_replace(F.lower(basename(path)), SOURCE_FILE, "$1|$2|$3|$4|$5"), r"\|")
+    return F.when(F.size(parts) == 5, parts)
+
+
+def source_file(parts: Column | str) -> dict[str, Column]:
+    """satellite, tile, h, v, ts_ms and problem of a source file from its source_parts.
 
     A name that doesn't match, a date that doesn't exist or another collection than 005 is told by ``problem``,
-    and all else is null, so one bad name doesn't stop a listing.
+    and all else is null, so one bad name doesn't stop a listing. Give a column, so that names are matched once.
     """
-    name = F.lower(basename(path))
-    part = [F.regexp_extract(name, SOURCE_FILE, k) for k in range(6)]
-    ts = F.when(part[0] != "", julian_to_ms(part[2]))
-    problem = F.when(part[0] == "", F.lit("name")).when(part[5] != COLLECTION, F.lit("collection")).when(ts.isNull(), F.lit("date"))
-    good = problem.isNull()
+    parts = _col(parts)
+    part = [F.get(parts, F.lit(k)) for k in range(5)]
+    ts = julian_to_ms(part[1])
+    problem = F.when(parts.isNull(), F.lit("name")).when(part[4] != COLLECTION, F.lit("collection")).when(ts.isNull(), F.lit("date"))
+    good = part[4] == COLLECTION
+    dated = good & ts.isNotNull()
     return {
-        "satellite": F.when(good, part[1]),
-        "tile": F.when(good, F.concat(F.lit("h"), part[3], F.lit("v"), part[4])),
-        "h": F.when(good, part[3].try_cast("int")),
-        "v": F.when(good, part[4].try_cast("int")),
+        "satellite": F.when(dated, part[0]),
+        "tile": F.when(dated, F.concat(F.lit("h"), part[2], F.lit("v"), part[3])),
+        "h": F.when(dated, part[2].try_cast("int")),
+        "v": F.when(dated, part[3].try_cast("int")),
         "ts_ms": F.when(good, ts),
         "problem": problem,
     }

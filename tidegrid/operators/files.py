@@ -10,16 +10,21 @@ from tidegrid.functions.dates import day_of_year, format_date
 from tidegrid.functions.layouts import MODIS, Layout, cell_tile
 
 
+def _parsed(rows: DataFrame, column: str) -> DataFrame:
+    """Adds what a file's name tells. A filter would be pushed below the match and repeat it many times; it isn't pushed through explode."""
+    matched = rows.select("*", F.explode(F.array(names.source_parts(column))).alias("_parts"))
+    return matched.select(*rows.columns, *[c.alias(k) for k, c in names.source_file("_parts").items()])
+
+
 def source_files(paths: DataFrame, column: str = "path", satellite: str | None = None) -> DataFrame:
     """(path, satellite, tile, h, v, ts_ms) of all paths with a source file's name; of one satellite if given."""
-    parsed = paths.select(F.col(column).alias("path"), *[c.alias(k) for k, c in names.source_file(column).items()])
-    good = parsed.where("problem is null").drop("problem")
+    good = _parsed(paths.select(F.col(column).alias("path")), "path").where("problem is null").drop("problem")
     return good if satellite is None else good.where(F.col("satellite") == names.SATELLITES.get(satellite.lower(), satellite.lower()))
 
 
 def quarantined(paths: DataFrame, column: str = "path") -> DataFrame:
     """(path, problem) of the names that are no source file's."""
-    return paths.select(F.col(column).alias("path"), names.source_file(column)["problem"].alias("problem")).where("problem is not null")
+    return _parsed(paths.select(F.col(column).alias("path")), "path").select("path", "problem").where("problem is not null")
 
 
 def files_of_tile(files: DataFrame, tile: str) -> DataFrame:
@@ -102,7 +107,7 @@ def to_download(remote: DataFrame, local: DataFrame, tiles: list[str] | None = N
 def remote_files(pages: DataFrame, html: str = "html", base: Column | None = None) -> DataFrame:
     """(name, url, satellite, tile, h, v, ts_ms) of the source files that listing pages link to."""
     found = pages.select((F.lit("") if base is None else base).alias("_base"), F.explode(names.file_links(html)).alias("name"))
-    parsed = found.select("name", F.concat("_base", "name").alias("url"), *[c.alias(k) for k, c in names.source_file("name").items()])
+    parsed = _parsed(found.select("name", F.concat("_base", "name").alias("url")), "name")
     return parsed.where("problem is null").drop("problem")
 
 
