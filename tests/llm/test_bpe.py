@@ -81,6 +81,14 @@ def test_documents(spark, both):
     assert bpe.encode_documents(docs.limit(0), PATH).count() == 0
 
 
+def test_long_texts_are_encoded_in_blocks(both, monkeypatch):
+    mine, theirs = both
+    text = "some  words 12 and<|endoftext|> more\n\n of 🙂them' s " * 40
+    monkeypatch.setattr(bpe, "LONG", 64)
+    assert len(list(mine.blocks(text))) > 20
+    assert mine.encode(text) == theirs.encode(text, add_special_tokens=False).ids and list(mine.blocks("")) == []
+
+
 def test_the_cache_is_bounded(both, monkeypatch):
     monkeypatch.setattr(bpe, "CACHE_WORDS", 10)
     words = bpe.Words(both[0].automaton)

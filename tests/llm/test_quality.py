@@ -15,6 +15,16 @@ def test_sum_of_squares_is_the_sum_over_pairs():
         assert got == pytest.approx(0.3 + m.weights[i] @ x + pairs)
 
 
+def test_blocks_of_a_long_text_add_up(monkeypatch):
+    text = "a a b B\n\nb c  c\tc d " * 50
+    whole = quality.features(text, 7)
+    counts, runs = quality.word_counts(text)
+    words = text.lower().split()
+    assert counts == quality.Counter(words) and runs == sum(x == y for x, y in zip(words, words[1:]))
+    monkeypatch.setattr(quality, "BLOCK", 5)
+    assert quality.word_counts(text) == (counts, runs) and all((x == y).all() for x, y in zip(quality.features(text, 7), whole))
+
+
 def test_held_out_accuracy(spark):
     sf = f"{DATA}/sf0.01"
     found = queries.op2_quality_classifier(spark, sf)

@@ -61,10 +61,11 @@ def test_fingerprints_and_components(spark):
 
 
 def test_blocks_of_a_long_text_add_up(monkeypatch):
-    text = prose(3, 900)
-    whole = simhash.fingerprint(text)
-    monkeypatch.setattr(simhash, "BLOCK", 100)
-    assert simhash.fingerprint(text) == whole == brute_print(text)
+    texts = [prose(3, 900), "a b\tc", " x" * 9, "one", " \n"]
+    whole = [simhash.fingerprint(t) for t in texts]
+    for size in (1, 7, 100):
+        monkeypatch.setattr(simhash, "BLOCK", size)
+        assert [simhash.fingerprint(t) for t in texts] == whole == [brute_print(t) for t in texts]
 
 
 def test_dense_group_and_chain(spark):

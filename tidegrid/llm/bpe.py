@@ -18,7 +18,7 @@ import hashlib
 import json
 from collections.abc import Iterator
 from functools import cache
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +32,7 @@ from tidegrid.llm.common import bounded_batches
 WHITE = r"\t-\r \x85\xa0  -     　"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+"
 CACHE_WORDS, CACHE_LENGTH = 400_000, 48
+LONG = 1 << 20  # characters of a text that is encoded block by block
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -240,7 +241,8 @@ class Tokenizer:
             labels[i] = content.encode()
         self.special = {content: (str(i), [i], content.encode()) for content, i in special.items()}
         self.between = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
-        self.split = regex.compile(PATTERN).findall
+        self.pattern = regex.compile(PATTERN)
+        self.split = self.pattern.findall
         self.words = Words(self.automaton)
 
     def pieces(self, text: str) -> list[tuple[str, list[int], bytes]]:
@@ -255,8 +257,22 @@ class Tokenizer:
                 out.extend(map(self.words.__getitem__, self.split(part)))
         return out
 
+    def blocks(self, text: str) -> Iterator[list[tuple[str, list[int], bytes]]]:
+        """The same in lists of whole words, so that a very long text is never one list."""
+        if len(text) <= LONG:
+            if text:
+                yield self.pieces(text)
+            return
+        for part in self.between.split(text) if self.between else [text]:
+            if part in self.special:
+                yield [self.special[part]]
+                continue
+            words = (m.group() for m in self.pattern.finditer(part))
+            while block := list(map(self.words.__getitem__, islice(words, LONG // 8))):
+                yield block
+
     def encode(self, text: str) -> list[int]:
-        return [i for p in self.pieces(text) for i in p[1]]
+        return [i for block in self.blocks(text) for p in block for i in p[1]]
 
     def decode(self, ids: list[int]) -> str:
         return self.automaton.decode(ids).decode("utf-8", "replace")
@@ -280,13 +296,17 @@ def _encode_batches(spec, with_ids: bool):
         for batch in batches:
             counts, coded, decoded, ids = [], [], [], []
             for text in batch.column(1).to_pylist():
-                found = made.pieces(text) if text else []
-                counts.append(sum(len(p[1]) for p in found))
-                coded.append(hashlib.sha256(",".join([p[0] for p in found]).encode()).hexdigest())
-                back = b"".join([p[2] for p in found]).decode("utf-8", "replace")
-                decoded.append(hashlib.sha256(back.encode()).hexdigest())
-                if with_ids:
-                    ids.append(list(chain.from_iterable([p[1] for p in found])))
+                n, as_text, back, mine = 0, hashlib.sha256(), hashlib.sha256(), []
+                for found in made.blocks(text or ""):
+                    as_text.update((("," if n else "") + ",".join([p[0] for p in found])).encode())
+                    n += sum([len(p[1]) for p in found])
+                    back.update(b"".join([p[2] for p in found]).decode("utf-8", "replace").encode())
+                    if with_ids:
+                        mine.extend(chain.from_iterable([p[1] for p in found]))
+                counts.append(n)
+                coded.append(as_text.hexdigest())
+                decoded.append(back.hexdigest())
+                ids.append(mine)
             columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(coded, pa.string()), pa.array(decoded, pa.string())]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             if with_ids:

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-#: Rows in an Arrow batch at most: texts are long, and a batch is held whole.
-BATCH_ROWS = 500
+#: Rows and bytes in an Arrow batch at most: texts are long, and a batch is held whole.
+BATCH_ROWS, BATCH_BYTES = 500, 32 << 20
 
 DOCUMENT_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -21,11 +21,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Python workers get batches of at most BATCH_ROWS rows, and can import this package."""
+    """Python workers get batches of at most BATCH_ROWS rows and, but for a single row, BATCH_BYTES; they can import this package."""
     ship_package(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key, "10000")) > BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -7,10 +7,12 @@ is linear in the number of features.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +30,8 @@ THRESHOLD = 0.3
 TRAIN_ROWS = 8192
 EPOCHS, BATCH, RATE, SHRINK = 40, 256, 0.2, 1e-5
 SEED = 20240229
+BLOCK = 1 << 20  # characters of a text that are split at once
+_WHITE = re.compile(r"\s")
 STATISTICS = ("words", "word_length", "distinct", "top_word", "upper", "digits", "marks", "marked_words", "lines", "line_repeats", "high_bytes", "declared", "runs")
 DIMENSION = (1 << WORD_BITS) + BINS * len(STATISTICS)
 
@@ -45,10 +49,32 @@ class _Buckets(dict):
 _buckets = _Buckets()
 
 
-def statistics(text: str, words: list[str], counts: Counter, n_chars: int | None) -> list[int]:
+def _blocks(text: str) -> Iterator[str]:
+    """A text, some BLOCK characters at a time; blocks end at white space."""
+    lo = 0
+    while lo < len(text):
+        found = _WHITE.search(text, min(len(text), lo + BLOCK))
+        hi = found.start() if found else len(text)
+        yield text[lo:hi]
+        lo = hi
+
+
+def word_counts(text: str) -> tuple[Counter, int]:
+    """Counts of the lowered words, and how often a word follows itself; a very long text is never a list of words."""
+    counts, runs, last = Counter(), 0, None
+    for block in _blocks(text):
+        words = block.lower().split()
+        counts.update(words)
+        runs += sum(map(eq, words, words[1:])) + (bool(words) and words[0] == last)
+        last = words[-1] if words else last
+    return counts, runs
+
+
+def statistics(text: str, counts: Counter, runs: int, n_chars: int | None) -> list[int]:
     """A bin from 0 to BINS - 1 for each of STATISTICS."""
     raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
-    n, size = max(1, len(words)), max(1, len(raw))
+    total = counts.total()
+    n, size = max(1, total), max(1, len(raw))
     upper = np.count_nonzero((raw >= 65) & (raw <= 90))
     lower = np.count_nonzero((raw >= 97) & (raw <= 122))
     digits = np.count_nonzero((raw >= 48) & (raw <= 57))
@@ -56,12 +82,11 @@ def statistics(text: str, words: list[str], counts: Counter, n_chars: int | None
     white = np.count_nonzero(raw <= 32)
     marks = len(raw) - upper - lower - digits - high - white
     lines = text.split("\n")
-    runs = sum(a == b for a, b in zip(words, words[1:]))
     marked = sum(k for w, k in counts.items() if not w[-1].isalnum())
     share = lambda a, b: int((BINS - 1) * min(1.0, a / b))
     log = lambda a: min(BINS - 1, int(np.log2(1 + a)))
     return [
-        log(len(words)),
+        log(total),
         min(BINS - 1, int(len(text) / n)),
         share(len(counts), n),
         share(max(counts.values(), default=0), n),
@@ -80,10 +105,9 @@ def statistics(text: str, words: list[str], counts: Counter, n_chars: int | None
 def features(text: str | None, n_chars: int | None) -> tuple[np.ndarray, np.ndarray]:
     """Indices and values of a document's features; the hashed words have length 1 together, the statistics too."""
     text = text or ""
-    words = text.lower().split()
-    counts = Counter(words)
+    counts, runs = word_counts(text)
     base = 1 << WORD_BITS
-    bins = [base + BINS * i + b for i, b in enumerate(statistics(text, words, counts, n_chars))]
+    bins = [base + BINS * i + b for i, b in enumerate(statistics(text, counts, runs, n_chars))]
     if counts:
         index = np.fromiter(map(_buckets.__getitem__, counts), np.int64, len(counts))
         tf = np.log1p(np.fromiter(counts.values(), np.float64, len(counts)))

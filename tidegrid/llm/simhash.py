@@ -20,6 +20,7 @@ one fingerprint takes out of the bucket all that it reaches, and only a spanning
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import cache
 
@@ -35,7 +36,8 @@ from tidegrid.llm.common import bounded_batches, connected_components, stored
 GENERATOR = 0xAE3
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 LIMIT = 4
-BLOCK = 1 << 18  # shingles whose bits are unpacked at once
+BLOCK = 1 << 20  # bytes of a text whose shingles are hashed at once
+_WHITE = re.compile(rb"[\x20\t-\r]")
 SMALL = 32  # a bucket of more distinct fingerprints is searched, not paired
 
 
@@ -99,29 +101,44 @@ def fuzzy_keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(at), np.concatenate(keys)
 
 
-def fingerprint(text: str | None, width: int = 4) -> int:
-    """Majority vote of the bits of the XXH64 (seed 42) of all shingles of ``width`` words; 0 without words.
+def _word_blocks(data: bytes) -> Iterator[list[bytes]]:
+    """Words of a text, some BLOCK bytes at a time; blocks end between words."""
+    lo = 0
+    while lo < len(data):
+        found = _WHITE.search(data, min(len(data), lo + BLOCK))
+        hi = found.start() if found else len(data)
+        yield data[lo:hi].split()
+        lo = hi
 
-    A-Z are lowered; words are runs of other than space and \\t-\\r; fewer words than ``width`` make one
-    shingle. The votes are summed block by block, so a very long text takes no more than its own size.
-    """
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return 0
+
+def _votes(words: list[bytes], width: int) -> np.ndarray:
+    """How many of the shingles have each bit set."""
     joined = b" ".join(words)
-    digest = xxhash.xxh64_intdigest
-    if len(words) <= width:
-        return digest(joined, 42)
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(lengths + 1) - 1
     starts = ends - lengths
     n = len(words) - width + 1
-    votes = np.zeros(64, dtype=np.int64)
-    for lo in range(0, n, BLOCK):
-        hi = min(n, lo + BLOCK)
-        cuts = zip(starts[lo:hi].tolist(), ends[lo + width - 1 : hi + width - 1].tolist())
-        hashes = np.array([digest(joined[a:b], 42) for a, b in cuts], dtype="<u8")
-        votes += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    digest = xxhash.xxh64_intdigest
+    cuts = zip(starts[:n].tolist(), ends[width - 1 :].tolist())
+    hashes = np.array([digest(joined[a:b], 42) for a, b in cuts], dtype="<u8")
+    return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+def fingerprint(text: str | None, width: int = 4) -> int:
+    """Majority vote of the bits of the XXH64 (seed 42) of all shingles of ``width`` words; 0 without words.
+
+    A-Z are lowered; words are runs of other than space and \\t-\\r; fewer words than ``width`` make one
+    shingle. Words are taken block by block, the last of each going on with the next, so a very long text is never a list of words.
+    """
+    votes, n, held = np.zeros(64, dtype=np.int64), 0, []
+    for words in _word_blocks((text or "").encode("utf-8", "surrogatepass").lower()):
+        words = held + words
+        if len(words) >= width:
+            votes += _votes(words, width)
+            n += len(words) - width + 1
+        held = words[-(width - 1) :] if width > 1 else []
+    if not n:
+        return xxhash.xxh64_intdigest(b" ".join(held), 42) if held else 0
     bits = np.packbits(votes * 2 > n, bitorder="little")
     return int(bits.view("<u8")[0])
 
