@@ -5,16 +5,17 @@ Each works on cells, and only on those of the chunks that it touches.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegrid.functions.addressing import frac_for_xy, time_chunk
+from tidegrid.functions.addressing import frac_for_xy, frac_x, frac_y, int_div, time_chunk
 from tidegrid.operators.grid import Grid, keyed_cells
 from tidegrid.plans.header import Header
+from tidegrid.plans.session import ship_package
 
 CHUNK = ["frac_num", "time_chunk"]
 
@@ -119,6 +120,7 @@ def map_fractions(grids: list[Grid], names: list[str], output: Header, map_fn: C
     """
     _check(grids)
     first = grids[0].header
+    ship_package(grids[0].spark)
     todo = common_fractions(grids)
     if done is not None and not force_all:
         complete = done.select(*CHUNK).distinct().groupBy("frac_num").agg(F.count("*").alias("n")).where(F.col("n") >= output.num_dates_fracs)
@@ -169,8 +171,9 @@ def chunk_arrays(grid: Grid) -> DataFrame:
     """(frac_num, time_chunk, h, w, nd, data): each stored chunk as a dense array, time innermost, no-data filled."""
     header = grid.header
     kind = grid.header.value_type
+    ship_package(grid.spark)
 
-    def one(rows: Iterator[pd.DataFrame] | pd.DataFrame) -> pd.DataFrame:
+    def one(rows: pd.DataFrame) -> pd.DataFrame:
         frac, chunk = int(rows["frac_num"].iloc[0]), int(rows["time_chunk"].iloc[0])
         (x0, _), (y0, _) = header.frac_xyranges(frac)
         t0, t1 = header.frac_time_range(chunk)
@@ -184,8 +187,6 @@ def chunk_arrays(grid: Grid) -> DataFrame:
 def cells_of_chunks(chunks: DataFrame, header: Header, drop_nodata: bool = True) -> DataFrame:
     """Cells (y, x, t, value, frac_num, time_chunk) of dense chunks, in generated code; each chunk says how many dates it has."""
     rows = chunks.select("frac_num", "time_chunk", "w", "nd", F.posexplode("data").alias("pos", "value"))
-    from tidegrid.functions.addressing import frac_x, frac_y, int_div
-
     y = frac_y("frac_num", header.num_x_fracs) * header.frac_height + int_div("pos", F.col("w") * F.col("nd"))
     x = frac_x("frac_num", header.num_x_fracs) * header.frac_width + int_div("pos", "nd") % F.col("w")
     t = F.col("time_chunk") * header.frac_ndates + F.col("pos") % F.col("nd")

@@ -678,4 +678,7 @@ def windowed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
-FLAGSHIP = "slice_xy_chunk_agg"
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """slice_xy_chunk_agg over a window from the first row on, which the smallest scale fills too."""
+    grid = cubes.events(spark, sf_dir)
+    return grid.chunk_stats(grid.window((4, 0), (11, 8), 3, 21))

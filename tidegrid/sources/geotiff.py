@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegrid.plans.header import Header
+from tidegrid.plans.session import ship_package
 
 #: Fixed values of the format: sizes of field types, and the tags used.
 SIZES = {1: ("B", 1), 2: ("s", 1), 3: ("H", 2), 4: ("I", 4), 5: ("II", 8), 11: ("f", 4), 12: ("d", 8)}
@@ -134,6 +135,7 @@ def read_cells(spark: SparkSession, path: str, kind: str = "int") -> DataFrame:
                     rows, columns = np.indices(data[y : y + 256].shape)
                     yield pd.DataFrame({"path": name, "y": (rows + y).reshape(-1).astype("int32"), "x": columns.reshape(-1).astype("int32"), "value": data[y : y + 256].reshape(-1)})
 
+    ship_package(spark)
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     return files.mapInPandas(run, f"path string, y int, x int, value {kind}")
 

@@ -16,6 +16,8 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 
+from tidegrid.plans.session import ship_package
+
 SCHEMA = "frac_num int, time_chunk int, h int, w int, nd int, data array<double>"
 NAME = re.compile(r"(\d+)\.(\d+)\.jdata$")
 
@@ -115,6 +117,7 @@ class JData(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    ship_package(spark)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(JData)
 
