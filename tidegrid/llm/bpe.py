@@ -31,7 +31,7 @@ from tidegrid.llm.common import bounded_batches
 #: Fixed value: the pattern of byte-level pre-splitting; white space is Unicode's White_Space.
 WHITE = r"\t-\r \x85\xa0  -     　"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+"
-CACHE_WORDS, CACHE_LENGTH = 400_000, 48
+CACHE_WORDS, CACHE_LENGTH = 250_000, 48
 LONG = 1 << 20  # characters of a text that is encoded block by block
 
 
@@ -153,6 +153,7 @@ class Automaton:
             node[last] = (t, node[last][1] if last in node else {})
         self.row_list, self.column_list = self.rows.tolist(), self.columns.tolist()
         self.flat, self.stride = self.table.tobytes(), self.table.shape[1]
+        del self.table
 
     def _from(self, word: bytes, i: int) -> list[tuple[int, int]]:
         """(token, end) of the arcs whose labels stand at a position, shortest first."""
