@@ -46,6 +46,67 @@ def test_edited_copy_moves_to_neighbouring_diagonals(spark):
     assert found[0].last_word - found[0].first_word + 1 == len(changed)
 
 
+def brute_best(words, template):
+    """The greatest similarity of any span of a text with a template, all spans tried."""
+    def runs(w):
+        return [tuple(w[i : i + licenses.K]) for i in range(max(1, len(w) - licenses.K + 1))]
+
+    a, b, best = runs(words), set(runs(template)), 0.0
+    for i in range(len(a)):
+        seen, common = set(), 0
+        for g in a[i:]:
+            if g not in seen:
+                seen.add(g)
+                common += g in b
+            best = max(best, common / (len(seen) + len(b) - common))
+    return best
+
+
+def edits(words):
+    """Copies with 1, 3 and 6 words put in, 1 and 2 left out, at every place; one of two edits at once."""
+    for i in range(len(words) + 1):
+        for n in (1, 3, 6):
+            yield words[:i] + [f"new{k}" for k in range(n)] + words[i:]
+        for n in (1, 2):
+            if i + n <= len(words):
+                yield words[:i] + words[i + n :]
+        if i + 12 <= len(words):
+            yield words[:i] + ["new"] + words[i : i + 9] + words[i + 11 :]
+
+
+def test_edits_at_every_place_equal_brute_force(spark):
+    rows, want = [], {}
+    for t, (_, text) in enumerate(TEMPLATES):
+        template = licenses.template_words(text)
+        for words in edits(template):
+            rows.append((len(rows), " ".join(["before", "this", *words, "after", "that"]), t))
+            best = brute_best(licenses.template_words(rows[-1][1]), template)
+            if best >= licenses.LEAST:
+                want[len(rows) - 1] = best
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, t int")
+    keys = {r.row: r.doc_id for r in licenses._with_words(docs).collect()}
+    of = {d: t for d, _, t in rows}
+    found = {}
+    for r in licenses.spans(docs).collect():
+        if of[keys[r.row]] == r.template:
+            found[keys[r.row]] = max(found.get(keys[r.row], 0), r.similarity)
+    texts = {d: x for d, x, _ in rows}
+    assert len(want) > 1000 and {texts[d]: s for d, s in found.items()} == {texts[d]: s for d, s in want.items()}
+    labels = {r.doc_id: r.labels.split(",") for r in licenses.scan_documents(docs).collect()}
+    assert all(TEMPLATES[of[d]][0] in labels[d] for d in want)
+
+
+def test_copies_and_repeats_in_one_text(spark):
+    """Each copy is a span of its own; runs that the template repeats and words of other copies between do not matter."""
+    words = licenses.template_words(TEMPLATES[7][1])
+    copy = words[:25] + ["inserted"] + words[25:]
+    text = ["a", "b", *copy, *(["c"] * 30), *copy, *words, "under", "the", "license"]
+    found = licenses.spans(spark.createDataFrame([(1, " ".join(text))], "doc_id bigint, text string"), [TEMPLATES[7]]).collect()
+    first = 2 + len(copy) + 30
+    want = [(2, 1 + len(copy)), (first, first + len(copy) - 1), (first + len(copy), first + len(copy) + len(words) - 1)]
+    assert sorted((r.first_word, r.last_word) for r in found) == want and max(r.similarity for r in found) == 1
+
+
 def test_votes_by_diagonal(spark):
     docs = spark.createDataFrame([(1, "x y a b c d e z a b c")], "doc_id bigint, text string")
     rows = licenses.matches(docs, [("l", "a b c d e")]).collect()

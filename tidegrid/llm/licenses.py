@@ -10,18 +10,20 @@ by comparing its runs of K words with the template's.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, insort
+from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from tidegrid.llm.common import stored
+from tidegrid.llm.common import bounded_batches, stored
 from tidegrid.llm.license_texts import PHRASES, TEMPLATES
 from tidegrid.llm.shingles import plain_words, rolling_hashes
 
 K = 3
-DRIFT = 4  # diagonals further apart than this aren't neighbours
-GAP = 8  # words between the matches of neighbours at most
 LEAST = 0.8  # similarity of a verified span
 
 
@@ -65,32 +67,111 @@ def matches(docs: DataFrame, templates: list[tuple[str, str]]) -> DataFrame:
     )
 
 
+def _gram_ids(codes: list[np.ndarray]) -> list[np.ndarray]:
+    """For each array of word codes from 1 the ids of its runs of K words, equal for equal runs; one of all where there are fewer."""
+    padded = [np.pad(c.astype(np.int64), (0, max(0, K - len(c)))) for c in codes]
+    size = int(max(c.max(initial=0) for c in padded)) + 1
+    ids = [c[: len(c) - K + 1] for c in padded]
+    for k in range(1, K):
+        keys = np.concatenate([i * size + c[k : len(c) - K + 1 + k] for i, c in zip(ids, padded)])
+        ids = np.split(np.unique(keys, return_inverse=True)[1], np.cumsum([len(i) for i in ids])[:-1])
+    return ids
+
+
+def best_spans(grams: list[int], template: set[int], least: float) -> list[tuple[float, int, int]]:
+    """(similarity, first, last) of runs' places: the span of the greatest similarity, then that of the rest, and so on down to ``least``.
+
+    Spans share no word. A span that starts or ends with a run that the template lacks, or whose first run comes again in it,
+    is no better than a shorter one, and one with too many other runs can't reach ``least``; all others are tried. A span
+    goes on over the runs beside it that it has already.
+    """
+    starts = [i for i, g in enumerate(grams) if g in template]
+    size = len(template)
+    if not starts or len({grams[i] for i in starts}) / size < least:
+        return []
+
+    def best(first: int, end: int) -> tuple[float, int, int] | None:
+        common, other, top = set(), set(), None
+        for at in range(first, end):
+            g = grams[at]
+            if g not in template:
+                other.add(g)
+                if size / (size + len(other)) < least:
+                    break
+            elif g not in common:
+                common.add(g)
+                score = len(common) / (size + len(other))
+                if score >= least and (top is None or score > -top[0]):
+                    top = (-score, first, at)
+                if len(common) == size:
+                    break
+            elif g == grams[first]:
+                break
+        return top
+
+    heap = [top for i in starts if (top := best(i, len(grams)))]
+    heapify(heap)
+    taken: list[tuple[int, int]] = []
+    found = []
+    while heap:
+        score, first, last = heappop(heap)
+        k = bisect_left(taken, (first, -1))
+        start = taken[k - 1][1] + K if k else 0
+        if start > first:
+            continue
+        end = taken[k][0] - K + 1 if k < len(taken) else len(grams)
+        if last >= end:
+            if top := best(first, end):
+                heappush(heap, top)
+            continue
+        held = template.intersection(grams[first : last + 1])
+        while first > start and grams[first - 1] in held:
+            first -= 1
+        while last + 1 < end and grams[last + 1] in held:
+            last += 1
+        insort(taken, (first, last))
+        found.append((-score, first, last))
+    return found
+
+
+def _span_batches(templates: list[list[str]], least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = pa.array([w for t in templates for w in t], pa.string())
+        ends = np.cumsum([len(t) for t in templates])
+        for batch in batches:
+            rows = []
+            for i, (row, wanted) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+                words = batch.column(2)[i].values.cast(pa.string())
+                codes = pa.concat_arrays([known, words]).dictionary_encode().indices.to_numpy(zero_copy_only=False) + 1
+                *parts, text = _gram_ids(np.split(codes, ends))
+                grams = text.tolist()
+                for t in sorted(wanted):
+                    rows += [(row, t, first, last, score) for score, first, last in best_spans(grams, set(parts[t].tolist()), least)]
+            names = ["row", "template", "first", "last", "similarity"]
+            types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.float64()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=names)
+
+    return run
+
+
 def spans(docs: DataFrame, templates: list[tuple[str, str]] | None = None, least: float = LEAST) -> DataFrame:
     """(row, label, template, first_word, last_word, similarity): verified spans; ``row`` as in _with_words.
 
-    similarity is the share of common among all distinct runs of K words of the span and the template.
+    similarity is the share of common among all distinct runs of K words of the span and the template. Of a template
+    the best span comes first, then the best of what it leaves (see best_spans).
     """
     templates = TEMPLATES if templates is None else templates
-    _, named = template_positions(docs.sparkSession, templates)
-    size = named.select("template", F.size("template_words").alias("length"))
-    votes = matches(docs, templates)
-    order = Window.partitionBy("row", "template").orderBy("first", "diagonal")
-    far = (F.col("first") - F.lag("last").over(order) > K + GAP) | (F.abs(F.col("diagonal") - F.lag("diagonal").over(order)) > DRIFT)
-    merged = votes.withColumn("new", F.coalesce(far, F.lit(True)).cast("int")).withColumn("group", F.sum("new").over(order))
-    merged = merged.groupBy("row", "template", "group").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("votes").alias("votes"))
-    likely = merged.join(F.broadcast(size), "template").where(F.col("votes") >= (F.col("length") - K + 1) * F.lit(least / 2))
-    likely = stored(likely.select("row", "template", "first", "last", "length"), "license-spans")
-    texts = _with_words(docs).join(likely.select("row").distinct(), "row", "left_semi").select("row", "words").dropDuplicates(["row"])
-    cut = likely.join(texts, "row").join(F.broadcast(named), "template")
-    cut = cut.withColumn("span", F.slice("words", F.col("first") + 1, F.col("last") - F.col("first") + K)).drop("words")
-
-    def runs(words: Column) -> Column:
-        n = F.greatest(F.lit(0), F.size(words) - K)
-        return F.array_distinct(F.transform(F.sequence(F.lit(0), n), lambda i: F.array_join(F.slice(words, i + 1, K), " ")))
-
-    cut = cut.withColumns({"a": runs(F.col("span")), "b": runs(F.col("template_words"))})
-    cut = cut.withColumn("similarity", F.size(F.array_intersect("a", "b")) / F.size(F.array_union("a", "b")))
-    return cut.where(F.col("similarity") >= least).select("row", "label", "template", F.col("first").cast("bigint").alias("first_word"), (F.col("last") + K - 1).cast("bigint").alias("last_word"), "similarity")
+    bounded_batches(docs.sparkSession)
+    places, named = template_positions(docs.sparkSession, templates)
+    size = places.groupBy("template").agg(F.count_distinct("hash").alias("runs"))
+    votes = matches(docs, templates).groupBy("row", "template").agg(F.sum("votes").alias("votes"))
+    likely = votes.join(F.broadcast(size), "template").where(F.col("votes") / F.col("runs") >= F.lit(least))
+    likely = stored(likely.groupBy("row").agg(F.collect_set("template").alias("templates")), "license-likely")
+    texts = _with_words(docs).select("row", "words").join(likely.select("row"), "row", "left_semi").dropDuplicates(["row"])
+    cut = likely.join(texts, "row").select("row", "templates", "words")
+    found = cut.mapInArrow(_span_batches([template_words(text) for _, text in templates], least), "row bigint, template int, first bigint, last bigint, similarity double")
+    found = found.join(F.broadcast(named), "template")
+    return found.select("row", "label", "template", F.col("first").alias("first_word"), (F.col("last") + K - 1).alias("last_word"), "similarity")
 
 
 def scan_documents(docs: DataFrame, templates: list[tuple[str, str]] | None = None) -> DataFrame:
