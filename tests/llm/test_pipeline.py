@@ -65,6 +65,17 @@ def test_one_of_each_group_stays(spark, folder):
     assert len(ids) == len(set(ids)) and {12, 13} & set(ids) == set() and 0 in ids
 
 
+def test_different_texts_stay_whatever_their_ids(spark, folder):
+    """Null and repeated ids of texts that aren't alike: a row of each group stays; rows alike and near copies don't."""
+    ids = [None] * 5 + [7] * 5 + [1, 2]
+    rows = [(d, prose(300 + i, 80), "en", "a", 1) for i, d in enumerate(ids)]
+    copies = [rows[0], rows[5], (9, rows[6][1], "en", "a", 1), (None, rows[10][1], "en", "a", 1), (8, rows[1][1], "en", "a", 1)]
+    docs = spark.createDataFrame(rows + copies, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    kept = corpus_pipeline.dedup_stage(spark, docs, folder).collect()
+    want = [r for i, r in enumerate(rows) if i != 1] + [copies[4]]
+    assert sorted(map(tuple, kept), key=repr) == sorted(want, key=repr)
+
+
 def test_clean_documents_stay(spark):
     sf = f"{DATA}/sf0.01"
     docs = spark.read.parquet(f"{sf}/documents.parquet")

@@ -287,7 +287,9 @@ def links(prints: DataFrame, limit: int = LIMIT) -> DataFrame:
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT, row: Column | None = None) -> DataFrame:
-    """(doc_id, fingerprint, component_id) for every row of ``docs``, and ``row`` where it is given.
+    """(doc_id, fingerprint, component_id) for every row of ``docs``; where ``row`` is given, also it and ``component``.
+
+    ``component`` is a fingerprint of the component as a signed long, a key of it whatever the ids are.
 
     Equal fingerprints collapse first, so copies cost one row whatever their number. component_id is the
     smallest doc_id that links reach. Defined cases: null and empty texts and texts of white space have
@@ -300,6 +302,6 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     labels = connected_components(found)
     joined = classes.join(labels.withColumnRenamed("node", "print"), "print", "left").withColumn("component", F.coalesce("component", "print"))
     names = joined.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_class = joined.join(names, "component").select("print", "component_id")
+    by_class = joined.join(names, "component").select("print", "component", "component_id")
     columns = ["doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id"]
-    return prints.join(by_class, "print").select(*columns, *([] if row is None else ["row"]))
+    return prints.join(by_class, "print").select(*columns, *([] if row is None else ["row", "component"]))
