@@ -1,6 +1,7 @@
 """The pipeline against its operators applied one by one in plain Python, on a small table."""
 
 import hashlib
+import random
 
 import pytest
 
@@ -76,6 +77,15 @@ def test_different_texts_stay_whatever_their_ids(spark, folder):
     assert sorted(map(tuple, kept), key=repr) == sorted(want, key=repr)
 
 
+def test_clean_texts_of_many_letters_stay(spark, folder):
+    """Ideographs by Zipf's law: 400 n-grams a profile hold little of such a language, so its texts score low."""
+    rng = random.Random(5)
+    letters, weights = [chr(0x4E00 + i) for i in range(2500)], [1 / (i + 1) for i in range(2500)]
+    texts = ["".join(rng.choices(letters, weights, k=rng.randint(40, 100))) for _ in range(400)]
+    docs = spark.createDataFrame([(i, t, "zh", "a", len(t)) for i, t in enumerate(texts)] + [(400, "!!! 123", "zh", "a", 7)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    assert sorted(r.doc_id for r in corpus_pipeline.language_stage(spark, docs, folder).collect()) == list(range(400))
+
+
 def test_clean_documents_stay(spark):
     sf = f"{DATA}/sf0.01"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
