@@ -123,3 +123,16 @@ def test_repeated_rows_come_back(spark):
     text = "Released under the MIT License."
     found = licenses.scan_documents(spark.createDataFrame([(1, text)] * 3 + [(2, text)], "doc_id bigint, text string")).collect()
     assert len(found) == 4 and {r.labels for r in found} == {"mit"} and {r.n_base for r in found} == {1}
+
+
+def test_stray_diagonals_part_nothing(spark):
+    """A run that the template repeats votes far away; the copy's own diagonals stay together, two copies far apart do not."""
+    columns = "row int, template int, diagonal int, first int, last int, votes bigint"
+    rows = [(1, 0, 0, 0, 20, 21), (1, 0, -32, 12, 12, 1), (1, 0, 1, 24, 45, 22), (1, 0, 33, 45, 45, 1), (1, 0, 400, 400, 440, 41), (2, 0, 0, 0, 3, 4)]
+    found = licenses.stretches(spark.createDataFrame(rows, columns), spark.createDataFrame([(0, 45)], "template int, runs bigint")).collect()
+    assert sorted((r.row, r.first, r.last, r.votes) for r in found) == [(1, 0, 45, 45), (1, 400, 440, 41), (2, 0, 3, 4)]
+
+
+def test_copies_of_a_text_vote_once(spark):
+    docs = spark.createDataFrame([(i, "x y a b c d e") for i in range(5)], "doc_id bigint, text string")
+    assert [r.votes for r in licenses.matches(docs, [("l", "a b c d e")]).collect()] == [3]

@@ -2,9 +2,10 @@
 
 All rolling hashes of K words of all documents are joined to the positions at which the licence templates have
 them. A copy of a template shows as many matches on one diagonal (position in the document less position in the
-template); words put in or left out move the rest to a diagonal nearby. Votes are counted by diagonal,
-neighbouring diagonals whose matches meet in the document are merged, and the span that they cover is verified
-by comparing its runs of K words with the template's.
+template); words put in or left out move the rest to a diagonal nearby. Votes are counted by diagonal, and
+neighbouring diagonals are merged: in their order, as long as the next is no further away than the template is
+long, so a stray match can't part what belongs together. A merged run of enough votes is a stretch of the document,
+whose runs of K words are then compared with the template's for the spans to report.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidegrid.llm.common import bounded_batches, stored
 from tidegrid.llm.license_texts import PHRASES, TEMPLATES
@@ -50,23 +52,39 @@ def _phrase_starts(words: Column, phrase: list[str]) -> Column:
 
 
 def _with_words(docs: DataFrame) -> DataFrame:
-    """(doc_id, row, words): ``row`` tells texts apart, so rows alike are scanned as one."""
+    """(doc_id, row, words): ``row``, two hashes, tells texts apart, so texts alike are scanned as one."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text, F.char_length(text)).alias("row"), plain_words(text).alias("words"))
+    row = F.struct(F.xxhash64(text).alias("one"), F.xxhash64(F.lit(1), text).alias("two"))
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), row.alias("row"), plain_words(text).alias("words"))
 
 
 def matches(docs: DataFrame, templates: list[tuple[str, str]]) -> DataFrame:
-    """(row, template, diagonal, first, last, votes): all matches of rolling hashes, counted by diagonal."""
+    """(row, template, diagonal, first, last, votes): all matches of rolling hashes, counted by diagonal; copies of a text vote once."""
     places, _ = template_positions(docs.sparkSession, templates)
     grams = _with_words(docs).select("row", F.posexplode(rolling_hashes(F.col("words"), K)).alias("pos", "hash"))
     found = grams.join(F.broadcast(places), "hash")  # a row for each position of the template list above
     return (
         found.withColumn("diagonal", F.col("pos") - F.col("at"))
         .groupBy("row", "template", "diagonal")
-        .agg(F.min("pos").alias("first"), F.max("pos").alias("last"), F.count("*").alias("votes"))
+        .agg(F.min("pos").alias("first"), F.max("pos").alias("last"), F.count_distinct("pos").alias("votes"))
     )
 
 
+def stretches(votes: DataFrame, runs: DataFrame) -> DataFrame:
+    """(row, template, first, last, votes, runs): neighbouring diagonals of ``votes`` (see matches) merged.
+
+    ``runs`` (template, runs) is the number of distinct runs of K words of each template. Diagonals of a text and template
+    stand in order; one that is more than ``runs`` behind the last starts a new stretch. What a text has of one template
+    is in one task: a row for each diagonal, no more than the text has words.
+    """
+    order = Window.partitionBy("row", "template").orderBy("diagonal")
+    apart = F.coalesce((F.col("diagonal") - F.lag("diagonal").over(order) > F.col("runs")).cast("int"), F.lit(0))
+    dealt = votes.join(F.broadcast(runs), "template").withColumn("apart", apart)  # a row for each template of the list
+    dealt = dealt.withColumn("stretch", F.sum("apart").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    merged = dealt.groupBy("row", "template", "stretch", "runs").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("votes").alias("votes"))
+    return merged.select("row", "template", "first", "last", "votes", "runs")
+
+
 def _gram_ids(codes: list[np.ndarray]) -> list[np.ndarray]:
     """For each array of word codes from 1 the ids of its runs of K words, equal for equal runs; one of all where there are fewer."""
     padded = [np.pad(c.astype(np.int64), (0, max(0, K - len(c)))) for c in codes]
@@ -139,17 +157,19 @@ def _span_batches(templates: list[list[str]], least: float):
         known = pa.array([w for t in templates for w in t], pa.string())
         ends = np.cumsum([len(t) for t in templates])
         for batch in batches:
-            rows = []
-            for i, (row, wanted) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+            found = []
+            for i, places in enumerate(batch.column(1).to_pylist()):
                 words = batch.column(2)[i].values.cast(pa.string())
                 codes = pa.concat_arrays([known, words]).dictionary_encode().indices.to_numpy(zero_copy_only=False) + 1
                 *parts, text = _gram_ids(np.split(codes, ends))
-                grams = text.tolist()
-                for t in sorted(wanted):
-                    rows += [(row, t, first, last, score) for score, first, last in best_spans(grams, set(parts[t].tolist()), least)]
-            names = ["row", "template", "first", "last", "similarity"]
-            types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.float64()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=names)
+                for p in sorted(places, key=lambda p: (p["template"], p["first"])):
+                    grams = text[p["first"] : p["last"] + 1].tolist()
+                    for score, first, last in best_spans(grams, set(parts[p["template"]].tolist()), least):
+                        found.append((i, p["template"], p["first"] + first, p["first"] + last, score))
+            rows = batch.column(0).take(pa.array([f[0] for f in found], pa.int64()))
+            types = [pa.int32(), pa.int64(), pa.int64(), pa.float64()]
+            columns = [pa.array([f[k] for f in found], t) for k, t in enumerate(types, 1)]
+            yield pa.RecordBatch.from_arrays([rows, *columns], names=["row", "template", "first", "last", "similarity"])
 
     return run
 
@@ -157,20 +177,23 @@ def _span_batches(templates: list[list[str]], least: float):
 def spans(docs: DataFrame, templates: list[tuple[str, str]] | None = None, least: float = LEAST) -> DataFrame:
     """(row, label, template, first_word, last_word, similarity): verified spans; ``row`` as in _with_words.
 
-    similarity is the share of common among all distinct runs of K words of the span and the template. Of a template
-    the best span comes first, then the best of what it leaves (see best_spans).
+    similarity is the share of common among all distinct runs of K words of the span and the template. Of a stretch
+    the best span comes first, then the best of what it leaves (see best_spans). A span of that similarity has votes for
+    that share of the template's runs, so stretches of fewer are left out. Copies may be edited by any changes that keep the
+    similarity; of words put in, no more than the template is long stand in one place.
     """
     templates = TEMPLATES if templates is None else templates
     bounded_batches(docs.sparkSession)
     places, named = template_positions(docs.sparkSession, templates)
-    size = places.groupBy("template").agg(F.count_distinct("hash").alias("runs"))
-    votes = matches(docs, templates).groupBy("row", "template").agg(F.sum("votes").alias("votes"))
-    likely = votes.join(F.broadcast(size), "template").where(F.col("votes") / F.col("runs") >= F.lit(least))
-    likely = stored(likely.groupBy("row").agg(F.collect_set("template").alias("templates")), "license-likely")
+    runs = places.groupBy("template").agg(F.count_distinct("hash").alias("runs"))
+    likely = stretches(matches(docs, templates), runs).where(F.col("votes") / F.col("runs") >= F.lit(least))
+    likely = likely.groupBy("row").agg(F.collect_list(F.struct("template", "first", "last")).alias("places"))  # of one text
+    likely = stored(likely, "license-likely")
     texts = _with_words(docs).select("row", "words").join(likely.select("row"), "row", "left_semi").dropDuplicates(["row"])
-    cut = likely.join(texts, "row").select("row", "templates", "words")
-    found = cut.mapInArrow(_span_batches([template_words(text) for _, text in templates], least), "row bigint, template int, first bigint, last bigint, similarity double")
-    found = found.join(F.broadcast(named), "template")
+    cut = likely.join(texts, "row").select("row", "places", "words")
+    row = "row struct<one: bigint, two: bigint>"
+    found = cut.mapInArrow(_span_batches([template_words(text) for _, text in templates], least), row + ", template int, first bigint, last bigint, similarity double")
+    found = found.join(F.broadcast(named), "template")  # the template list above
     return found.select("row", "label", "template", F.col("first").alias("first_word"), (F.col("last") + K - 1).alias("last_word"), "similarity")
 
 
