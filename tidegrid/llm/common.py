@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,9 +16,6 @@ from tidegrid.plans.session import ship_package
 #: Rows and bytes in an Arrow batch at most: texts are long, and a batch is held whole.
 BATCH_ROWS, BATCH_BYTES = 500, 32 << 20
 
-DOCUMENT_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -34,12 +32,14 @@ def bounded_batches(spark: SparkSession) -> None:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, as the cluster sets it.
 
-    Only where it is unset, as in tests on one machine, a new temporary folder is taken.
+    Only where it is unset and all runs in one process, as in tests, a new temporary folder is taken; on a cluster that is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         held = spark.sparkContext.getCheckpointDir()
         if held is None:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tidegrid-"))
             held = spark.sparkContext.getCheckpointDir()
         folder = held
@@ -103,17 +103,17 @@ def prefix_sums(df: DataFrame, group: list[str], order: str, values: dict[str, s
     return joined.drop("_bucket", *["_before_" + v for v in values])
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of ``edges`` (a, b: bigint); component is one node of it.
 
     Each round every node takes the smallest of itself and its neighbours by that round's order as
     its parent, and the graph is contracted to the parents. From the second round on the order is
-    a hash that changes with the round, so that chains shrink by a constant factor too. All is
-    done by joins and aggregates; nothing but a row count comes to the driver.
+    a hash that changes with the round, so that chains shrink by a constant factor too; rounds go on
+    until no edge is left. All is done by joins and aggregates; nothing but whether a row is left comes to the driver.
     """
     cur = stored(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     labels = None
-    for rnd in range(max_rounds):
+    for rnd in count():
         if not cur.take(1):
             break
 
