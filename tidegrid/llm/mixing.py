@@ -174,20 +174,22 @@ def _shard_at(starts: Column, at: Column) -> Column:
 
 
 def draw(docs: DataFrame, seed: int = SEED) -> DataFrame:
-    """The mix: the rows of ``docs``, all columns as they are, each as often as it is taken, by shard and shuffled in it.
+    """The mix: the rows of ``docs``, all columns as they are, each as often as it is taken, dealt by shard and shuffled in it.
 
-    A row's takings follow from its place in its source's order, so texts are not joined to decisions: they move once, to their shard.
+    A shard's shuffled order is cut into pieces, and each piece lies whole in one partition of the result. A row's takings
+    follow from its place in its source's order, so texts are not joined to decisions: they move once, to their shard.
     """
     spark = docs.sparkSession
     stretches = stored(_stretches(docs, seed), "mix-stretches")  # a row for each source: its size decides how it is joined
-    text = F.col("text").cast("string")
-    rows = docs.withColumn("_mix_row", row_key(text)).withColumn("_mix_at", F.struct(_place(F.col("_mix_row"), seed).alias("place"), F.col("_mix_row").alias("row")))
-    rows = rows.join(stretches.select(*[F.col(c).alias("_mix_" + c) for c in stretches.columns]), F.col("source").cast("string").eqNullSafe(F.col("_mix_source")))
-    turns = [F.when(F.col("_mix_at") <= F.col(f"_mix_last_{t}"), F.struct(F.lit(t).alias("turn"), _shard_at(F.col(f"_mix_from_{t}"), F.col("_mix_at")).alias("shard"))) for t in range(1, MOST + 1)]
-    rows = rows.withColumn("_mix", F.explode(F.filter(F.array(*turns), lambda s: s.isNotNull())))
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), "doc_id", "source", F.col("text").cast("string").alias("text"))
+    key = row_key(F.col("text"))
+    rows = whole.select("doc", F.col("source").cast("string").alias("from_source"), key.alias("row"), F.struct(_place(key, seed).alias("place"), key.alias("row")).alias("at"))
+    rows = rows.join(stretches, F.col("from_source").eqNullSafe(F.col("source")))
+    turns = [F.when(F.col("at") <= F.col(f"last_{t}"), F.struct(F.lit(t).alias("turn"), _shard_at(F.col(f"from_{t}"), F.col("at")).alias("shard"))) for t in range(1, MOST + 1)]
+    rows = rows.select("doc", "row", F.explode(F.filter(F.array(*turns), lambda s: s.isNotNull())).alias("taking"))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     pieces = 4 * parts  # of each shard's shuffled order
-    rows = rows.withColumn("_mix_place", F.pmod(F.xxhash64(F.lit(seed + 1), "_mix_row", "_mix.turn"), F.lit(UNIT)))
-    rows = rows.withColumns({"_mix_shard": F.col("_mix.shard"), "_mix_piece": F.floor(F.col("_mix_place") * pieces / F.lit(float(UNIT)))})
-    dealt = rows.repartition(parts, "_mix_shard", "_mix_piece").sortWithinPartitions("_mix_shard", "_mix_place")
-    return dealt.select(*docs.columns)
+    rows = rows.withColumn("order", F.pmod(F.xxhash64(F.lit(seed + 1), "row", "taking.turn"), F.lit(UNIT)))
+    rows = rows.withColumns({"shard": F.col("taking.shard"), "piece": F.floor(F.col("order") * pieces / F.lit(float(UNIT)))})
+    dealt = rows.repartition(parts, "shard", "piece").sortWithinPartitions("shard", "order")
+    return dealt.select(*[F.col(f"doc.`{c}`").alias(c) for c in docs.columns])
