@@ -27,7 +27,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegrid.llm.common import bounded_batches, connected_components, stored
@@ -39,6 +39,7 @@ LIMIT = 4
 BLOCK = 1 << 20  # bytes of a text whose shingles are hashed at once
 _WHITE = re.compile(rb"[\x20\t-\r]")
 SMALL = 32  # a bucket of more distinct fingerprints is searched, not paired
+SALTS = 16  # tasks that a component's classes are named in
 
 
 def _syndromes(words: np.ndarray) -> np.ndarray:
@@ -111,8 +112,8 @@ def _word_blocks(data: bytes) -> Iterator[list[bytes]]:
         lo = hi
 
 
-def _votes(words: list[bytes], width: int) -> np.ndarray:
-    """How many of the shingles have each bit set."""
+def shingle_hashes(words: list[bytes], width: int) -> np.ndarray:
+    """XXH64 (seed 42) of each run of ``width`` words, repeats included."""
     joined = b" ".join(words)
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(lengths + 1) - 1
@@ -120,44 +121,55 @@ def _votes(words: list[bytes], width: int) -> np.ndarray:
     n = len(words) - width + 1
     digest = xxhash.xxh64_intdigest
     cuts = zip(starts[:n].tolist(), ends[width - 1 :].tolist())
-    hashes = np.array([digest(joined[a:b], 42) for a, b in cuts], dtype="<u8")
-    return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.array([digest(joined[a:b], 42) for a, b in cuts], dtype="<u8")
 
 
-def fingerprint(text: str | None, width: int = 4) -> int:
-    """Majority vote of the bits of the XXH64 (seed 42) of all shingles of ``width`` words; 0 without words.
+def hash_blocks(text: str | None, width: int) -> Iterator[np.ndarray]:
+    """The shingles' hashes of a whole text, some BLOCK bytes of words at a time; fewer words than ``width`` make one shingle, none without words.
 
-    A-Z are lowered; words are runs of other than space and \\t-\\r; fewer words than ``width`` make one
-    shingle. Words are taken block by block, the last of each going on with the next, so a very long text is never a list of words.
+    A-Z are lowered; words are runs of other than space and \\t-\\r. The last words of a block go on with the next, so
+    a very long text is never a list of words.
     """
-    votes, n, held = np.zeros(64, dtype=np.int64), 0, []
+    held, some = [], False
     for words in _word_blocks((text or "").encode("utf-8", "surrogatepass").lower()):
         words = held + words
         if len(words) >= width:
-            votes += _votes(words, width)
-            n += len(words) - width + 1
+            some = True
+            yield shingle_hashes(words, width)
         held = words[-(width - 1) :] if width > 1 else []
-    if not n:
-        return xxhash.xxh64_intdigest(b" ".join(held), 42) if held else 0
-    bits = np.packbits(votes * 2 > n, bitorder="little")
-    return int(bits.view("<u8")[0])
+    if held and not some:
+        yield np.array([xxhash.xxh64_intdigest(b" ".join(held), 42)], dtype="<u8")
+
+
+def _votes(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each bit set."""
+    return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+def _majority(votes: np.ndarray, n: int) -> int:
+    return int(np.packbits(votes * 2 > n, bitorder="little").view("<u8")[0])
+
+
+def fingerprint(text: str | None, width: int = 4) -> int:
+    """Majority vote of the bits of all shingles' hashes (see hash_blocks); 0 without words."""
+    votes, n = np.zeros(64, dtype=np.int64), 0
+    for hashes in hash_blocks(text, width):
+        votes += _votes(hashes)
+        n += len(hashes)
+    return _majority(votes, n) if n else 0
 
 
 def _print_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         prints = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(prints, pa.int64())], names=["doc_id", "row", "print"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.int64())], names=["doc_id", "print"])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row: Column | None = None) -> DataFrame:
-    """(doc_id, row, print) for every row; ``print`` holds the 64 bits as a signed long. A null text has no words: 0.
-
-    ``row`` is any long that the caller wants to know a row by; null if not given.
-    """
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, print) for every row; ``print`` holds the 64 bits as a signed long. A null text has no words: 0."""
     bounded_batches(docs.sparkSession)
-    row = F.lit(None) if row is None else row
-    thin = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"), row.cast("bigint").alias("row"))
-    return thin.mapInArrow(_print_batches, "doc_id bigint, row bigint, print bigint")
+    thin = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return thin.mapInArrow(_print_batches, "doc_id bigint, print bigint")
 
 
 def _key_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -286,22 +298,22 @@ def links(prints: DataFrame, limit: int = LIMIT) -> DataFrame:
     return dealt.mapInArrow(_link_batches(limit), "a bigint, b bigint")
 
 
-def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT, row: Column | None = None) -> DataFrame:
-    """(doc_id, fingerprint, component_id) for every row of ``docs``; where ``row`` is given, also it and ``component``.
-
-    ``component`` is a fingerprint of the component as a signed long, a key of it whatever the ids are.
+def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT) -> DataFrame:
+    """(doc_id, fingerprint, component_id) for every row of ``docs``.
 
     Equal fingerprints collapse first, so copies cost one row whatever their number. component_id is the
     smallest doc_id that links reach. Defined cases: null and empty texts and texts of white space have
     fingerprint zero and link like any other; repeated rows each come back; a null doc_id never names a
     component unless the component has no other; an empty table gives no rows; other columns are ignored.
     """
-    prints = stored(fingerprints(docs, id_col, text_col, row), "prints")
+    prints = stored(fingerprints(docs, id_col, text_col), "prints")
     classes = stored(prints.groupBy("print").agg(F.min("doc_id").alias("least")), "classes")
-    found = stored(links(classes.select("print"), limit), "links")
-    labels = connected_components(found)
-    joined = classes.join(labels.withColumnRenamed("node", "print"), "print", "left").withColumn("component", F.coalesce("component", "print"))
-    names = joined.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_class = joined.join(names, "component").select("print", "component", "component_id")
-    columns = ["doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id"]
-    return prints.join(by_class, "print").select(*columns, *([] if row is None else ["row", "component"]))
+    labels = connected_components(stored(links(classes.select("print"), limit), "links"))
+    linked = classes.join(labels.withColumnRenamed("node", "print"), "print")
+    names = linked.groupBy("component").agg(F.min("least").alias("component_id"))
+    # A component may hold a third of all classes: its name goes out SALTS times, and its classes over as many tasks.
+    names = names.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    linked = linked.withColumn("salt", F.pmod(F.hash("print"), F.lit(SALTS)))
+    named = linked.join(names, ["component", "salt"]).select("print", "component_id")
+    known = classes.join(named, "print", "left").select("print", F.when(F.col("component_id").isNotNull(), F.col("component_id")).otherwise(F.col("least")).alias("component_id"))
+    return prints.join(known, "print").select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
