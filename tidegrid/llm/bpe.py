@@ -8,8 +8,10 @@ depends on the last token alone, so states and arcs are kept as classes: tokens
 same tokens share a row of the table, tokens that may follow the same ones share a column, and a class is
 split (copied) only when a merge changes one of its tokens.
 
-Encoding walks a pre-split word with that table: for each prefix there is one accepted sequence, so the
-last token at every position is found once, from left to right. Decoding emits the labels of the arcs.
+Encoding reads a pre-split word byte by byte with two tables: one of byte transitions, whose nodes tell the arcs that end
+at a position, and that of the classes. Every prefix has one accepted sequence, so at every position exactly one arc may follow
+the state it starts from; it is looked up, and nothing is taken back. Decoding emits the labels of the arcs. The tables are
+compiled once, by the driver, and sent to the workers.
 """
 
 from __future__ import annotations
@@ -141,61 +143,83 @@ class Automaton:
         self.table = kept  # by class of the arc, a bit for each state
 
     def _spell(self, base: list[int], made: set[int]) -> None:
-        """The arcs' labels as byte transitions: a node maps a byte to (token that ends there or -1, next node)."""
-        self.arcs: dict[int, tuple] = {}
-        for t in sorted(chain(base, made), key=lambda t: (len(self.labels[t]), self.labels[t])):
-            node = self.arcs
-            for byte in self.labels[t][:-1]:
-                if byte not in node:
-                    node[byte] = (-1, {})
-                node = node[byte][1]
-            last = self.labels[t][-1]
-            node[last] = (t, node[last][1] if last in node else {})
-        self.row_list, self.column_list = self.rows.tolist(), self.columns.tolist()
-        self.flat, self.stride = self.table.tobytes(), self.table.shape[1]
+        """The arcs' labels as byte transitions: nodes are beginnings of labels, the longest that the bytes read so far end in.
+
+        ``goto`` maps a node and a byte to the next node, ``ends`` a node to the arcs whose labels end there, longest
+        first: (length of the label, place of the arc's class in the table, the state behind it as a byte and its bit, token). Transitions
+        that leave the labels are entered when first met.
+        """
+        self.goto: dict[int, int] = {}
+        self.fail, own = [0], [None]
+        for t in chain(base, made):
+            node = 0
+            for byte in self.labels[t]:
+                step = node << 8 | byte
+                if step not in self.goto:
+                    self.goto[step] = len(own)
+                    own.append(None)
+                    self.fail.append(0)
+                node = self.goto[step]
+            own[node] = t
+        rows, columns, stride = self.rows.tolist(), self.columns.tolist(), self.table.shape[1]
+        state = [(r >> 3, 1 << (r & 7)) for r in range(max(rows) + 1)]
+        self.first = state[rows[self.start]]
+        self.ends: list[tuple] = [()] * len(own)
+        below: dict[int, list[tuple[int, int]]] = {}
+        for step, child in self.goto.items():
+            below.setdefault(step >> 8, []).append((step & 255, child))
+        level = [0]
+        depth = 0
+        while level:  # failure links by depth: those of shorter beginnings are known
+            depth += 1
+            deeper = []
+            for node in level:
+                for byte, child in below.get(node, ()):
+                    fail = self.step(self.fail[node], byte) if node else 0
+                    self.fail[child] = fail
+                    t = own[child]
+                    self.ends[child] = ((depth, columns[t] * stride, state[rows[t]], t), *self.ends[fail]) if t is not None else self.ends[fail]
+                    deeper.append(child)
+            level = deeper
+        self.flat = self.table.tobytes()
         del self.table
 
-    def _from(self, word: bytes, i: int) -> list[tuple[int, int]]:
-        """(token, end) of the arcs whose labels stand at a position, shortest first."""
-        out, node, j = [], self.arcs, i
-        for byte in word[i:] if i else word:
-            found = node.get(byte)
-            if found is None:
-                break
-            j += 1
-            t, node = found
-            if t >= 0:
-                out.append((t, j))
-        return out
+    def step(self, node: int, byte: int) -> int:
+        """The node after one more byte."""
+        found = self.goto.get(node << 8 | byte)
+        if found is None:
+            found = self.goto[node << 8 | byte] = self.step(self.fail[node], byte) if node else 0
+        return found
 
     def encode_word(self, word: bytes) -> list[int]:
-        """The token sequence that the automaton accepts for these bytes.
+        """The token sequence that the automaton accepts for these bytes, found from left to right without going back.
 
-        The longest arc that the state allows is taken first. A prefix has one accepted sequence, so a position that was
-        reached once and led nowhere is not reached again, and each is left at most once.
+        Every prefix has one accepted sequence, so one of the arcs that end at a position may follow the state of the position
+        where it starts: its bit is set in the table. That is the position's state, and its token leads back from the end.
         """
-        flat, stride, rows, columns = self.flat, self.stride, self.row_list, self.column_list
-        n = len(word)
-        seen = bytearray(n + 1)
-        out: list[int] = []
-        held: list[tuple[list, int]] = []
-        state, arcs = rows[self.start], self._from(word, 0)
-        while True:
-            byte, bit = state >> 3, state & 7
-            while arcs:
-                t, end = arcs.pop()
-                if not seen[end] and flat[columns[t] * stride + byte] >> bit & 1:
+        flat, ends, goto = self.flat, self.ends, self.goto
+        states, arcs, node = [self.first], [], 0
+        for byte in word:
+            try:
+                node = goto[node << 8 | byte]
+            except KeyError:
+                node = self.step(node, byte)
+            for arc in ends[node]:
+                at, bit = states[-arc[0]]
+                if flat[arc[1] + at] & bit:
                     break
             else:
-                arcs, state = held.pop()
-                out.pop()
-                continue
-            out.append(t)
-            if end == n:
-                return out
-            seen[end] = 1
-            held.append((arcs, state))
-            state, arcs = rows[t], self._from(word, end)
+                raise ValueError(f"no token holds byte {byte}")
+            states.append(arc[2])
+            arcs.append(arc)
+        out: list[int] = []
+        at = len(word)
+        while at:
+            arc = arcs[at - 1]
+            out.append(arc[3])
+            at -= arc[0]
+        out.reverse()
+        return out
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.labels.__getitem__, ids))
@@ -208,6 +232,9 @@ class Words(dict):
         self.automaton = automaton
         self.names = list(map(str, range(len(automaton.labels))))
 
+    def __reduce__(self):
+        return Words, (self.automaton,)
+
     def __missing__(self, word: str) -> tuple[str, list[int], bytes]:
         ids = self.automaton.encode_word(word.encode("utf-8", "surrogatepass"))
         found = (",".join([self.names[i] for i in ids]), ids, self.automaton.decode(ids))
@@ -281,7 +308,7 @@ class Tokenizer:
 
 @cache
 def tokenizer(spec: str) -> Tokenizer:
-    """Compiled once in a Python worker."""
+    """Compiled once in a process."""
     return Tokenizer(json.loads(spec))
 
 
@@ -291,9 +318,9 @@ def read_spec(spark: SparkSession, path: str) -> str:
         return f.read()
 
 
-def _encode_batches(spec, with_ids: bool):
+def _encode_batches(sent, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = tokenizer(spec.value)
+        made: Tokenizer = sent.value
         for batch in batches:
             counts, coded, decoded, ids = [], [], [], []
             for text in batch.column(1).to_pylist():
@@ -303,15 +330,16 @@ def _encode_batches(spec, with_ids: bool):
                     n += sum([len(p[1]) for p in found])
                     back.update(b"".join([p[2] for p in found]).decode("utf-8", "replace").encode())
                     if with_ids:
-                        mine.extend(chain.from_iterable([p[1] for p in found]))
+                        mine.append(np.fromiter(chain.from_iterable([p[1] for p in found]), np.int32))
                 counts.append(n)
                 coded.append(as_text.hexdigest())
                 decoded.append(back.hexdigest())
-                ids.append(mine)
+                ids.append(np.concatenate(mine) if mine else np.zeros(0, np.int32))
             columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(coded, pa.string()), pa.array(decoded, pa.string())]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             if with_ids:
-                columns, names = [*columns, pa.array(ids, pa.list_(pa.int32()))], [*names, "ids"]
+                ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
+                columns, names = [*columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids) if ids else ends[:0]))], [*names, "ids"]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return run
@@ -326,7 +354,7 @@ def encode_documents(docs: DataFrame, path: str, with_ids: bool = True) -> DataF
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    spec = spark.sparkContext.broadcast(read_spec(spark, path))  # about 1.5 MB, fixed by the vocabulary
+    made = spark.sparkContext.broadcast(tokenizer(read_spec(spark, path)))  # about 40 MB, fixed by the vocabulary
     thin = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else "")
-    return thin.mapInArrow(_encode_batches(spec, with_ids), schema)
+    return thin.mapInArrow(_encode_batches(made, with_ids), schema)
