@@ -1,4 +1,5 @@
 import random
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -29,7 +30,7 @@ def as_text(code):
 
 def test_counts_are_those_of_the_text(monkeypatch):
     rng = random.Random(2)
-    for size in (1 << 20, 16):
+    for size in (1 << 20, 16, 1, 2):
         monkeypatch.setattr(langid, "BLOCK", size)
         for _ in range(60):
             text = "".join(rng.choice("ab cé1-Ü\n你 ") for _ in range(rng.randrange(0, 200)))
@@ -38,6 +39,13 @@ def test_counts_are_those_of_the_text(monkeypatch):
             assert {as_text(int(c)): int(n) for c, n in zip(codes, counts)} == dict(want)
 
 
+def test_words_longer_than_a_block(monkeypatch):
+    monkeypatch.setattr(langid, "BLOCK", 1000)
+    for text in ("a" * 5000, "ab" * 2500 + " c", "x" * 999 + " y", "x" * 1000 + " y", "1" * 3000 + "a"):
+        codes, counts = langid.count_grams(text)
+        assert {as_text(int(c)): int(n) for c, n in zip(codes, counts)} == dict(brute_grams(text))
+
+
 def test_ranks_and_distance():
     codes, counts = np.array([5, 6, 7, 8]), np.array([2, 9, 2, 9])
     assert langid.ranked(codes, counts, 3).tolist() == [6, 8, 5]
@@ -82,3 +90,31 @@ def test_nothing_learned(spark):
     model = langid.learn_from_documents(empty)
     assert model.langs == [] and langid.identify(empty, model).count() == 0
     assert {r.lang_pred for r in langid.identify(documents(spark), model).collect()} == {"und"}
+
+
+def test_query_equals_brute_force(spark, tmp_path):
+    """Profiles by counting all texts, distances by lists: the same predictions and scores."""
+    docs = [r for r in spark.read.parquet(f"{DATA}/sf0.001/documents.parquet").collect() if r.text]
+    learned = {}
+    for r in docs:
+        if r.lang is not None and zlib.crc32(str(r.doc_id).encode()) % 4 != 2:
+            learned.setdefault(r.lang, Counter()).update(brute_grams(r.text) if any(c.isalpha() for c in r.text) else {})
+
+    def code(gram):
+        return tuple([0] * (3 - len(gram)) + [ord(c) for c in gram])
+
+    def ranks(grams):
+        return [g for g, _ in sorted(grams.items(), key=lambda x: (-x[1], code(x[0])))[: langid.PROFILE]]
+
+    profiles = {lang: {g: i for i, g in enumerate(ranks(grams))} for lang, grams in learned.items()}
+    found = {r.doc_id: r for r in queries.op5_language_id(spark, f"{DATA}/sf0.001").collect()}
+    for r in docs:
+        f = found[r.doc_id]
+        assert f.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+        if not any(c.isalpha() for c in r.text):
+            assert (f.lang_pred, f.score) == ("und", 0.0)
+            continue
+        mine = ranks(brute_grams(r.text))
+        apart = {lang: sum(abs(p[g] - i) if g in p else langid.PROFILE for i, g in enumerate(mine)) for lang, p in profiles.items()}
+        best = min(sorted(apart), key=apart.get)
+        assert f.lang_pred == best and abs(f.score - (1 - apart[best] / (langid.PROFILE * len(mine)))) < 1e-12

@@ -34,37 +34,35 @@ def _letters() -> np.ndarray:
     return np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
 
 
-def _block_grams(cp: np.ndarray) -> np.ndarray:
-    """Codes of the n-grams of a run of code points that has a blank at either end and none doubled."""
-    wide = cp.astype(np.int64)
-    one = wide[wide != BLANK]
-    two = (wide[:-1] << 21) | wide[1:]
-    three = ((wide[:-2] << 42) | (wide[1:-1] << 21) | wide[2:])[wide[1:-1] != BLANK]
-    return np.concatenate([one, two, three])
+def _grams(cp: np.ndarray, known: int) -> np.ndarray:
+    """Codes of the n-grams that end after the first ``known`` code points of words with single blanks between."""
+    one = cp[known:]
+    two = ((cp[:-1] << 21) | cp[1:])[max(0, known - 1) :]
+    three = ((cp[:-2] << 42) | (cp[1:-1] << 21) | cp[2:])[max(0, known - 2) :]
+    return np.concatenate([one[one != BLANK], two, three[cp[max(1, known - 1) : -1] != BLANK]])
 
 
 def count_grams(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Codes and counts of all n-grams of the whole text, block by block; empty without letters."""
+    """Codes and counts of all n-grams of the whole text; empty without letters.
+
+    The text is read BLOCK characters at a time; the last two code points of a block go on with the next, so blocks may
+    end anywhere, in a word of any length too.
+    """
     codes, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
     text = text.lower()
-    lo = 0
-    while lo < len(text):
-        hi = min(len(text), lo + BLOCK)
-        while hi < len(text) and hi < lo + 2 * BLOCK and text[hi - 1].isalpha():  # blocks end between words
-            hi += 1
-        cp = np.frombuffer(text[lo:hi].encode("utf-32-le", "surrogatepass"), np.uint32)
-        lo = hi
+    held = np.array([BLANK], np.int64)
+    for lo in range(0, len(text) + 1, BLOCK):
+        cp = np.frombuffer(text[lo : lo + BLOCK].encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
         letter = _letters()[cp]
-        keep = letter.copy()
-        keep[1:] |= letter[:-1]
-        run = np.where(letter, cp, BLANK)[keep]
-        if not letter.any():
+        before = np.concatenate([held[-1:] != BLANK, letter])[: len(cp)]
+        new = np.where(letter, cp, BLANK)[letter | before]  # of what lies between words, one blank
+        if lo + BLOCK > len(text) and np.concatenate([held, new])[-1] != BLANK:
+            new = np.append(new, BLANK)
+        if not len(new):
             continue
-        if run[0] != BLANK:
-            run = np.concatenate([[BLANK], run])
-        if run[-1] != BLANK:
-            run = np.concatenate([run, [BLANK]])
-        c, n = np.unique(_block_grams(run), return_counts=True)
+        run = np.concatenate([held, new])
+        c, n = np.unique(_grams(run, len(held)), return_counts=True)
+        held = run[-2:]
         if len(codes):
             merged, at = np.unique(np.concatenate([codes, c]), return_inverse=True)
             counts = np.bincount(at, np.concatenate([counts, n])).astype(np.int64)
