@@ -54,7 +54,7 @@ def test_empty_table(spark):
 
 
 def test_archive_format(tmp_path):
-    records = [warc.record(i, f"http://x/{i}", "<html>common words in every page</html>" * 20 + str(i), None, False) for i in range(50)]
+    records = [warc.response(i, f"http://x/{i}", "<html>common words in every page</html>" * 20 + str(i)) for i in range(50)]
     dictionary = warc.build_dictionary(records)
     compressor = zstandard.ZstdCompressor(dict_data=warc.dictionary_of(dictionary))
     frames = [compressor.compress(r) for r in records]
@@ -69,3 +69,20 @@ def test_archive_format(tmp_path):
         list(warc.frames(io.BytesIO(b"x" * 20)))
     with pytest.raises(ValueError):
         warc.parse(one.replace(b"common", b"comman", 1))
+
+
+def test_long_pages_teach_too_and_archives_roll(spark, tmp_path):
+    """Pages beyond the sample's characters give their beginnings; the dictionary doesn't depend on the order of rows; a full archive is closed."""
+    rows = [(i, f"http://x/{i}", "<html><body>shared opening of all pages " + f"{i} " * 30_000) for i in range(40)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    dictionaries = set()
+    for n, frame in enumerate((pages, pages.orderBy("url").repartition(3))):
+        manifest = warc.write_archives(frame, f"file://{tmp_path}/{n}", roll_bytes=1).collect()
+        assert len(manifest) == 40 and sum(r.records for r in manifest) == 40
+        for r in manifest:
+            raw = open(r.file.removeprefix("file://"), "rb").read()
+            size = warc.struct.unpack("<II", raw[:8])[1]
+            dictionaries.add(raw[8 : 8 + size])
+    assert len(dictionaries) == 1 and b"shared opening" in dictionaries.pop()
+    found = warc.read_archives(spark.createDataFrame([(r.file,) for r in manifest], "file string")).collect()
+    assert sorted(r.page_id for r in found) == list(range(40))

@@ -25,8 +25,9 @@ from tidegrid.llm.common import bounded_batches, new_path, stored
 #: Fixed values of the formats: magic numbers of the dictionary's skippable frame and of a trained dictionary.
 SKIPPABLE, TRAINED = 0x184D2A5D, 0xEC30A437
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: Bounds of the sample that the dictionary is trained on (rows in expectation, bytes of each), and its size.
-SAMPLE_ROWS, SAMPLE_BYTES, DICTIONARY_BYTES = 2000, 1 << 16, 1 << 16
+#: Bounds of the sample that the dictionary is trained on (rows in expectation, characters of each from its start), and its size.
+SAMPLE_ROWS, SAMPLE_CHARS, DICTIONARY_BYTES = 2000, 1 << 14, 1 << 16
+ROLL_BYTES = 1 << 30  # an archive of this size is closed, and another begun
 LEVEL = 3
 DATE = "2024-01-01T00:00:00Z"
 READ_BYTES = 1 << 18
@@ -54,17 +55,17 @@ def _page(name: str | None) -> int | None:
     return None if found in ("", "none") else int(found)
 
 
-def record(page_id: int | None, url: str | None, html: str | None, refers_to: int | None, revisit: bool) -> bytes:
-    """One WARC/1.1 record; a revisit's block keeps the HTTP head alone, with the payload's length."""
-    payload = (html or "").encode("utf-8", "surrogatepass")
-    head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+def record(page_id: int | None, url: str | None, payload: bytes | None, refers_to: int | None, length: int, sha1: bytes) -> bytes:
+    """One WARC/1.1 record; without a payload it is a revisit, whose block keeps the HTTP head alone, with the payload's length."""
+    revisit = payload is None
+    head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {length}\r\n\r\n".encode()
     block = head if revisit else head + payload
     lines = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {_name(page_id)}", f"WARC-Date: {DATE}"]
     if url is not None:
         lines.append("WARC-Target-URI: " + url.replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A"))
     if revisit:
         lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {_name(refers_to)}"]
-    lines += [f"WARC-Payload-Digest: sha1:{digest(payload)}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
+    lines += [f"WARC-Payload-Digest: sha1:{base64.b32encode(sha1).decode()}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(lines).encode("utf-8", "surrogatepass") + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
@@ -100,6 +101,12 @@ def parse(raw: bytes) -> Record:
     return Record(headers, payload, length)
 
 
+def response(page_id: int | None, url: str | None, html: str | None) -> bytes:
+    """A page's own record."""
+    payload = (html or "").encode("utf-8", "surrogatepass")
+    return record(page_id, url, payload, None, len(payload), hashlib.sha1(payload).digest())
+
+
 def build_dictionary(samples: list[bytes], size: int = DICTIONARY_BYTES) -> bytes:
     """A trained dictionary; of few or short samples, their bytes as they are."""
     try:
@@ -115,57 +122,71 @@ def dictionary_of(data: bytes) -> zstandard.ZstdCompressionDict | None:
     return zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_FULLDICT if trained else zstandard.DICT_TYPE_RAWCONTENT)
 
 
-def _write_batches(folder: str, dictionary: bytes):
+def _write_batches(folder: str, dictionary: bytes, roll_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Each attempt of a task writes a file of its own; only those of tasks that end are in the manifest.
-        path, out, records, size = f"{folder}/{uuid.uuid4().hex}.warc.zst", None, 0, 0
+        # Each attempt of a task writes files of its own; only those of tasks that end are in the manifest.
+        out, path, records, size = None, "", 0, 0
         compressor = zstandard.ZstdCompressor(level=LEVEL, dict_data=dictionary_of(dictionary), write_content_size=True)
+
+        def closed() -> pa.RecordBatch:
+            out.close()
+            return pa.RecordBatch.from_arrays([pa.array([path]), pa.array([records], pa.int64()), pa.array([size], pa.int64())], names=["file", "records", "bytes"])
+
         for batch in batches:
-            for page_id, url, html, refers_to, revisit in zip(*(c.to_pylist() for c in batch.columns)):
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
                 if out is None:
+                    path, records = f"{folder}/{uuid.uuid4().hex}.warc.zst", 0
                     system, place = opened(path)
                     system.create_dir(place.rpartition("/")[0], recursive=True)
-                    out = system.open_output_stream(place)
+                    out = system.open_output_stream(place, compression=None)
                     out.write(struct.pack("<II", SKIPPABLE, len(dictionary)) + dictionary)
                     size = 8 + len(dictionary)
-                frame = compressor.compress(record(page_id, url, html, refers_to, revisit))
+                frame = compressor.compress(record(*row))
                 out.write(frame)
                 records += 1
                 size += len(frame)
+                if size >= roll_bytes:
+                    yield closed()
+                    out = None
         if out is not None:
-            out.close()
-            yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([records], pa.int64()), pa.array([size], pa.int64())], names=["file", "records", "bytes"])
+            yield closed()
 
     return run
 
 
 def roles(pages: DataFrame) -> DataFrame:
-    """(page_id, url, html, refers_to, revisit) for every row: all but the rows of the least page_id revisit it.
+    """(page_id, url, payload, refers_to, length, sha1) for every row; the payload is null for revisits: all but the rows of the least page_id.
 
-    Digests are counted with partial sums before the shuffle; a digest that many pages share is one row there, and
-    adaptive execution splits it in the join. Null ids come after all others.
+    Payloads meet with partial aggregation, so those that many pages share move once a task; rows move without them. Only
+    rows that are responses are joined to their payload. Null ids come after all others.
     """
-    html = F.coalesce(F.col("html").cast("string"), F.lit(""))
-    rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"))
-    rows = rows.withColumns({"digest": F.unhex(F.sha1(F.col("html").cast("binary"))), "length": F.octet_length("html")})
-    first = rows.groupBy("digest", "length").agg(F.min("page_id").alias("first"))
-    both = rows.join(first, ["digest", "length"])
+    body = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
+    rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), body.alias("payload"))
+    rows = rows.withColumns({"sha1": F.unhex(F.sha1("payload")), "length": F.octet_length("payload").cast("bigint")})
+    heads = rows.select("page_id", "url", "sha1", "length")
+    first = heads.groupBy("sha1", "length").agg(F.min("page_id").alias("first"))
+    known = stored(heads.join(first, ["sha1", "length"]), "warc-roles")
     revisit = ~F.col("page_id").eqNullSafe(F.col("first"))
-    return both.select("page_id", "url", "html", F.when(revisit, F.col("first")).alias("refers_to"), revisit.alias("revisit"))
+    revisits = known.where(revisit).select("page_id", "url", F.lit(None).cast("binary").alias("payload"), F.col("first").alias("refers_to"), "length", "sha1")
+    bodies = rows.groupBy("sha1", "length").agg(F.first("payload").alias("payload"))
+    responses = known.where(~revisit).join(bodies, ["sha1", "length"]).select("page_id", "url", "payload", F.lit(None).cast("bigint").alias("refers_to"), "length", "sha1")
+    return responses.unionByName(revisits)
 
 
-def write_archives(pages: DataFrame, folder: str | None = None) -> DataFrame:
+def write_archives(pages: DataFrame, folder: str | None = None, roll_bytes: int = ROLL_BYTES) -> DataFrame:
     """Archives all rows of ``pages`` (page_id, url, html); the manifest (file, records, bytes) of what was written.
 
-    ``folder`` must be one that executors and later readers share; the default is in the shared folder.
+    ``folder`` must be one that executors and later readers share; the default is in the shared folder. The sample of the
+    dictionary is drawn by a hash of (page_id, url), whatever the order of rows; of a long page its beginning is taken.
     """
     spark = pages.sparkSession
     bounded_batches(spark)
     folder = folder or new_path(spark, "warc")
     share = F.pmod(F.xxhash64("page_id", "url"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = pages.where((F.octet_length("html") <= SAMPLE_BYTES) & (share * F.lit(pages.count()) < SAMPLE_ROWS)).limit(2 * SAMPLE_ROWS)
-    samples = sorted(record(r.page_id, r.url, r.html, None, False) for r in sample.select("page_id", "url", "html").collect())
-    made = roles(pages).mapInArrow(_write_batches(folder, build_dictionary(samples)), MANIFEST)
+    thin = pages.select("page_id", "url", F.substring(F.col("html").cast("string"), 1, SAMPLE_CHARS).alias("html"))
+    drawn = thin.where(share * F.lit(pages.count()) < SAMPLE_ROWS).groupBy("page_id", "url").agg(F.min("html").alias("html"))
+    samples = sorted(response(r.page_id, r.url, r.html) for r in drawn.collect())
+    made = roles(pages).mapInArrow(_write_batches(folder, build_dictionary(samples), roll_bytes), MANIFEST)
     return stored(made, "warc-manifest")
 
 
@@ -195,7 +216,7 @@ def _read_batches(with_payload: bool):
         for path in (p for batch in batches for p in batch.column(0).to_pylist()):
             system, place = opened(path)
             rows: list[tuple] = []
-            with system.open_input_stream(place) as stream:
+            with system.open_input_stream(place, compression=None) as stream:
                 for raw in frames(stream):
                     found = parse(raw)
                     payload = (found.payload if found.headers["warc-type"] == "response" else None,)
