@@ -57,10 +57,28 @@ def test_one_document_and_none(spark):
     assert sketches.fingerprint_documents(docs.limit(0)).count() == 0
 
 
-def test_buckets_by_halving(spark):
-    cuts = sorted(random.Random(1).sample(range(-1000, 1000), 300))
-    rows = spark.range(-1100, 1100).withColumnRenamed("id", "key").select("key", sketches._bucket(cuts).alias("b")).collect()
-    assert all(r.b == sum(c <= r.key for c in cuts) for r in rows)
+@pytest.mark.parametrize("parts", [1, 3])
+def test_buckets_never_fall(spark, parts):
+    cuts = sorted(random.Random(1).sample(range(-1000, 1000), 300) + [7] * 9 + [sketches.LEAST_ID] * 4)
+    keys = spark.range(-1100, 1100).withColumnRenamed("id", "key").unionByName(spark.createDataFrame([(sketches.LEAST_ID,)], "key bigint"))
+    rows = keys.crossJoin(spark.createDataFrame([(h * 1_073_741,) for h in range(0, 2000, 40)], "hash bigint"))
+    got = rows.select("key", "hash", sketches._bucket(cuts, parts).alias("b")).orderBy("key", "hash").collect()
+    assert all(a.b <= b.b for a, b in zip(got, got[1:])) and got[0].b >= 0
+    assert len({r.b for r in got if r.key == 7}) >= 8 * parts and len({r.b for r in got if r.key == sketches.LEAST_ID}) >= 3 * parts
+    if parts == 1:
+        assert all(r.b == sum(c <= r.key for c in cuts) for r in got if cuts.count(r.key) < 2)
+
+
+@pytest.mark.parametrize("most_cuts", [4096, 3])
+def test_next_document_in_many_buckets(spark, most_cuts):
+    """A third of all rows has no id: the order is that of id, hash and text, however it is cut."""
+    rows = [(None if i % 3 == 0 else i * i, prose(i, 20)) for i in range(300)] + [(None, prose(0, 20))] * 5
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    placed, window = sketches.with_next(docs, bucket_bytes=500, most_cuts=most_cuts)
+    assert placed.select("bucket").distinct().count() > 20
+    found = placed.withColumn("next", F.lead("text").over(window)).where("donor = 0").collect()
+    order = sorted(found, key=lambda r: (-r.key, -r.hash, r.text))
+    assert len(order) == len(rows) and [r.next for r in order] == [r.text for r in order[1:]] + [order[0].text]
 
 
 def test_estimates(spark):

@@ -18,7 +18,8 @@ WIDTH = 5
 SIZE = 128
 SPACE = float(1 << 32)
 BUCKET_BYTES = 2 << 20  # of texts that stand together while each looks for its next
-MOST_BUCKETS = 1 << 14
+MOST_CUTS = 1 << 12  # sampled quantiles of the ids; ranges between them are divided evenly as far as bytes ask for
+HASHES = 1 << 31
 LEAST_ID = -(1 << 63)
 
 
@@ -78,49 +79,65 @@ def merge(parts: DataFrame, keys: list[str], column: str = "sketch", size: int =
     return groups.alias("g").join(merged.alias("m"), cond, "left").select(*["g." + k for k in keys], F.coalesce(F.col("m." + column), empty).alias(column))
 
 
-def _bucket(cuts: list[int]) -> Column:
-    """How many of the ascending cuts are not above the column ``key``, by halving."""
-    if not cuts:
-        return F.lit(0)
-    array = F.array(*[F.lit(c) for c in cuts])
-    low, high = F.lit(0), F.lit(len(cuts))
-    if len(cuts) <= 32:
-        return F.size(F.filter(array, lambda c: c <= F.col("key")))
+def _fewer(cuts: Column, n: int, or_equal: bool) -> Column:
+    """How many of the ``n`` ascending cuts are less than the column ``key``, or no more than it, by halving."""
 
     def halve(acc: Column, _: Column) -> Column:
         middle = F.floor((acc["low"] + acc["high"]) / 2).cast("int")
-        above = F.get(array, middle) > F.col("key")
+        cut = F.get(cuts, middle)
+        before = cut <= F.col("key") if or_equal else cut < F.col("key")
         go = acc["low"] < acc["high"]
-        return F.struct(F.when(go & ~above, middle + 1).otherwise(acc["low"]).alias("low"), F.when(go & above, middle).otherwise(acc["high"]).alias("high"))
+        return F.struct(F.when(go & before, middle + 1).otherwise(acc["low"]).alias("low"), F.when(go & ~before, middle).otherwise(acc["high"]).alias("high"))
 
-    steps = F.sequence(F.lit(1), F.lit(len(cuts).bit_length()))
-    return F.aggregate(steps, F.struct(low.alias("low"), high.alias("high")), halve)["low"]
+    steps = F.sequence(F.lit(1), F.lit(max(1, n.bit_length())))
+    return F.aggregate(steps, F.struct(F.lit(0).alias("low"), F.lit(n).alias("high")), halve)["low"]
 
 
-def with_next(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> tuple[DataFrame, Window]:
-    """Rows (bucket, donor, key, doc_id, text) in buckets by doc_id, and the window in which the following row is the next document.
+def _bucket(cuts: list[int], parts: int = 1) -> Column:
+    """The bucket of a row by its columns ``key`` and ``hash``, which never falls as (key, hash) grows.
 
-    Documents stand by descending doc_id, null ids last, equal ids by text; after the last comes the first. The
-    buckets are ranges of ids, cut at sampled quantiles, so the whole order is never in one task. Each bucket ends
-    with a copy (donor) of the next bucket's first document. Texts are shuffled once.
+    Cuts are ascending, with repeats: a range between two different ones is divided evenly into ``parts``, and a key that fills
+    several quantiles is divided by the hash, into ``parts`` for each of them.
+    """
+    if not cuts:
+        return F.lit(0).cast("bigint")
+    n = len(cuts)
+    array = F.split(F.lit(",".join(map(str, cuts))), ",").cast("array<bigint>")  # one literal, folded
+    less, upto = _fewer(array, n, False), _fewer(array, n, True)
+    low, high = F.get(array, upto - 1).cast("double"), F.get(array, upto).cast("double")
+    along = F.when((upto == 0) | (upto == n), F.lit(0.0)).otherwise((F.col("key").cast("double") - low) / (high - low))
+    between = upto * parts + F.least(F.lit(parts - 1), F.floor(along * parts))
+    steps = (upto - less) * parts
+    within = (less + 1) * parts + F.least(steps - parts, F.floor(F.col("hash") * (steps - parts + 1) / F.lit(float(HASHES))))
+    return F.when(upto - less > 1, within).otherwise(between).cast("bigint")
+
+
+def with_next(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES, most_cuts: int = MOST_CUTS) -> tuple[DataFrame, Window]:
+    """Rows (bucket, donor, key, hash, doc_id, text) in buckets by doc_id, and the window in which the following row is the next document.
+
+    Documents stand by descending doc_id, null ids last, those of one id by a hash of the text, then the text; after the last
+    comes the first. The buckets are ranges of ids, or of hashes of an id that many rows have, so the whole order is never
+    in one task; only rows alike in id and text can't be parted. Each bucket ends with a copy (donor) of the next bucket's first document. Texts are shuffled once.
     """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumn("key", F.coalesce("doc_id", F.lit(LEAST_ID)))
+    rows = rows.withColumns({"key": F.coalesce("doc_id", F.lit(LEAST_ID)), "hash": F.pmod(F.xxhash64("text"), F.lit(HASHES))})
     total = rows.agg(F.sum(F.octet_length("text")).alias("bytes")).first()["bytes"] or 0
-    parts = max(1, min(MOST_BUCKETS, total // bucket_bytes))
+    wanted = max(1, total // bucket_bytes)
+    n = min(most_cuts, wanted)
     cuts: list[int] = []
-    if parts > 1:
-        shares = F.array(*[F.lit(i / parts) for i in range(1, parts)])
-        cuts = sorted(set(rows.agg(F.percentile_approx("key", shares, F.lit(max(10_000, 4 * parts))).alias("cuts")).first()["cuts"]))
-    rows = rows.withColumn("bucket", _bucket(cuts).cast("int"))
-    tops = rows.groupBy("bucket").agg(F.max("key").alias("top"))  # a row for each bucket
+    if n > 1:
+        shares = F.split(F.lit(",".join(str(i / n) for i in range(1, n))), ",").cast("array<double>")
+        cuts = sorted(rows.agg(F.percentile_approx("key", shares, F.lit(max(10_000, 4 * n))).alias("cuts")).first()["cuts"])
+    rows = rows.withColumn("bucket", _bucket(cuts, -(-wanted // n)))
+    place = F.struct("key", "hash")
+    tops = rows.groupBy("bucket").agg(F.max(place).alias("top"))  # a row for each bucket
     lower, everything = Window.orderBy("bucket"), Window.partitionBy()
-    following = tops.select("bucket", F.coalesce(F.lag("top").over(lower), F.max("top").over(everything)).alias("key"))
-    following = stored(following, "next-buckets")
-    donors = rows.select("doc_id", "text", "key").join(following, "key").groupBy("bucket", "key").agg(F.min("text").alias("text"))
-    last = donors.select("bucket", F.lit(1).alias("donor"), "key", F.lit(None).cast("bigint").alias("doc_id"), "text")
-    own = rows.select("bucket", F.lit(0).alias("donor"), "key", "doc_id", "text")
-    return own.unionByName(last), Window.partitionBy("bucket").orderBy("donor", F.desc("key"), "text")
+    following = tops.select("bucket", F.coalesce(F.lag("top").over(lower), F.max("top").over(everything)).alias("top"))
+    following = stored(following.select("bucket", "top.key", "top.hash"), "next-buckets")
+    donors = rows.select("doc_id", "text", "key", "hash").join(following, ["key", "hash"]).groupBy("bucket", "key", "hash").agg(F.min("text").alias("text"))
+    last = donors.select("bucket", F.lit(1).alias("donor"), "key", "hash", F.lit(None).cast("bigint").alias("doc_id"), "text")
+    own = rows.select("bucket", F.lit(0).alias("donor"), "key", "hash", "doc_id", "text")
+    return own.unionByName(last), Window.partitionBy("bucket").orderBy("donor", F.desc("key"), F.desc("hash"), "text")
 
 
 def fingerprint_documents(docs: DataFrame, size: int = SIZE, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
@@ -129,17 +146,17 @@ def fingerprint_documents(docs: DataFrame, size: int = SIZE, bucket_bytes: int =
     The edited text is the document's with its last half of code points replaced by as many of the next one's
     first (all where it has fewer). Defined cases: a null text counts as empty; texts without words have an empty
     fingerprint, at likeness 1 to each other and 0 to others; a single document is its own next; repeated rows
-    each come back, equal ids ordered by text; a null doc_id comes last; an empty table gives no rows.
+    each come back, equal ids ordered by a hash of the text; a null doc_id comes last; an empty table gives no rows.
     """
     rows, window = with_next(docs, bucket_bytes)
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
     rows = rows.withColumn("next", F.lead("text").over(window))
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.coalesce("next", F.lit("")), F.lit(1), half))
-    rows = rows.select("bucket", "donor", "key", "doc_id", "text", edited.alias("edited"))
+    rows = rows.select("bucket", "donor", "key", "hash", "doc_id", "text", edited.alias("edited"))
     rows = rows.withColumns({"words": white_words(F.col("text")), "edited_words": white_words(F.col("edited"))})
     rows = rows.withColumns({"sketch": sketch(F.col("words"), size), "edited_sketch": sketch(F.col("edited_words"), size)})
-    rows = rows.select("bucket", "donor", "key", "doc_id", "text", F.char_length("text").cast("bigint").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "sketch", "edited_sketch")
+    rows = rows.select("bucket", "donor", "key", "hash", "doc_id", "text", F.char_length("text").cast("bigint").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "sketch", "edited_sketch")
     rows = rows.withColumn("next_sketch", F.lead("sketch").over(window)).where("donor = 0")
     rows = rows.withColumns({"near_edited": resemblance(F.col("sketch"), F.col("edited_sketch"), size), "near_next": resemblance(F.col("sketch"), F.col("next_sketch"), size)})
     return rows.select(
