@@ -93,10 +93,10 @@ def _fewer(cuts: Column, n: int, or_equal: bool) -> Column:
     return F.aggregate(steps, F.struct(F.lit(0).alias("low"), F.lit(n).alias("high")), halve)["low"]
 
 
-def _bucket(cuts: list[int], parts: int = 1) -> Column:
+def _bucket(cuts: list[int], parts: int = 1, least: int = LEAST_ID) -> Column:
     """The bucket of a row by its columns ``key`` and ``hash``, which never falls as (key, hash) grows.
 
-    Cuts are ascending, with repeats: a range between two different ones is divided evenly into ``parts``, and a key that fills
+    ``least`` is the smallest key but LEAST_ID. Cuts are ascending, with repeats: a range between two different ones is divided evenly into ``parts``, and a key that fills
     several quantiles is divided by the hash, into ``parts`` for each of them.
     """
     if not cuts:
@@ -104,8 +104,8 @@ def _bucket(cuts: list[int], parts: int = 1) -> Column:
     n = len(cuts)
     array = F.split(F.lit(",".join(map(str, cuts))), ",").cast("array<bigint>")  # one literal, folded
     less, upto = _fewer(array, n, False), _fewer(array, n, True)
-    low, high = F.get(array, upto - 1).cast("double"), F.get(array, upto).cast("double")
-    along = F.when((upto == 0) | (upto == n), F.lit(0.0)).otherwise((F.col("key").cast("double") - low) / (high - low))
+    low, high = F.greatest(F.get(array, upto - 1), F.lit(least)).cast("double"), F.get(array, upto).cast("double")
+    along = F.when((upto == 0) | (upto == n) | (low >= high), F.lit(0.0)).otherwise((F.col("key").cast("double") - low) / (high - low))
     between = upto * parts + F.least(F.lit(parts - 1), F.floor(along * parts))
     steps = (upto - less) * parts
     within = (less + 1) * parts + F.least(steps - parts, F.floor(F.col("hash") * (steps - parts + 1) / F.lit(float(HASHES))))
@@ -121,14 +121,15 @@ def with_next(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES, most_cuts: int
     """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumns({"key": F.coalesce("doc_id", F.lit(LEAST_ID)), "hash": F.pmod(F.xxhash64("text"), F.lit(HASHES))})
-    total = rows.agg(F.sum(F.octet_length("text")).alias("bytes")).first()["bytes"] or 0
+    whole = rows.agg(F.sum(F.octet_length("text")).alias("bytes"), F.min("doc_id").alias("least")).first()
+    total, least = whole["bytes"] or 0, LEAST_ID if whole["least"] is None else whole["least"]
     wanted = max(1, total // bucket_bytes)
     n = min(most_cuts, wanted)
     cuts: list[int] = []
     if n > 1:
         shares = F.split(F.lit(",".join(str(i / n) for i in range(1, n))), ",").cast("array<double>")
         cuts = sorted(rows.agg(F.percentile_approx("key", shares, F.lit(max(10_000, 4 * n))).alias("cuts")).first()["cuts"])
-    rows = rows.withColumn("bucket", _bucket(cuts, -(-wanted // n)))
+    rows = rows.withColumn("bucket", _bucket(cuts, -(-wanted // n), least))
     place = F.struct("key", "hash")
     tops = rows.groupBy("bucket").agg(F.max(place).alias("top"))  # a row for each bucket
     lower, everything = Window.orderBy("bucket"), Window.partitionBy()
