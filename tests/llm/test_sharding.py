@@ -50,6 +50,14 @@ def test_repeated_rows_and_few_rows(spark):
     assert len(one) == 1 and one[0].slot == 0
 
 
+def test_rows_alike_are_one_until_they_are_placed(spark):
+    """A third of all rows has no id and one text: no range holds them, and each gets its slot."""
+    rows = [(None, "same")] * 500 + [(i, prose(i, 10)) for i in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert sharding.keyed(docs, []).count() == 1001
+    check(sharding.shard_documents(docs, range_rows=40).collect(), rows, 8)
+
+
 def test_columns_are_carried(spark):
     docs = documents(spark)
     found = sharding.shard_documents(docs, carry=["text", "key"]).select("text_crc32", "carried.text", "carried.key").collect()
@@ -71,7 +79,7 @@ def test_no_python_in_the_plan(spark):
 def test_one_key_that_fills_all_quantiles(spark):
     """A heavy key amid light ones: ranges are cut until only equal keys are left together."""
     keys = [5] * 3000 + list(range(10)) + [10**12 + i for i in range(30)]
-    rows = spark.createDataFrame([(i, k, 0, 1 + (i == 4) * 10**6, 0) for i, k in enumerate(keys)], "doc_id bigint, key bigint, text_crc32 bigint, size bigint, range bigint")
+    rows = spark.createDataFrame([(i, k, 0, 1 + (i == 4) * 10**6, 1, 0) for i, k in enumerate(keys)], "doc_id bigint, key bigint, text_crc32 bigint, size bigint, copies bigint, range bigint")
     found = sharding.ranged(sharding.stored(rows, "keys"), 8).groupBy("range").agg({"key": "min", "*": "count"}).collect()
     spans = sharding.ranged(sharding.stored(rows, "keys"), 8).groupBy("range").agg(sharding.F.min("key").alias("lo"), sharding.F.max("key").alias("hi"), sharding.F.count("*").alias("n")).orderBy("range").collect()
     assert len(found) == len(spans) and all(r.n <= 8 or r.lo == r.hi for r in spans)

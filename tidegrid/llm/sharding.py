@@ -1,7 +1,8 @@
 """Sharding by sampled splitters, with DataFrame operations only.
 
 Records are ordered by a key: the checksum of the text, then a hash of the id, so that equal texts stand
-together and yet can be cut anywhere. Size-weighted samples of the keys give quantile boundaries, which cut
+together and yet can be cut anywhere. Records alike in all that counts are one row with their number until each gets
+its place. Size-weighted samples of the keys give quantile boundaries, which cut
 the order into ranges; ranges that turn out to hold too many rows are cut again by samples of their own.
 Exact sums over the ranges then give each record its place in the whole order, and the order is dealt to
 the shards in equal runs of bytes.
@@ -23,18 +24,22 @@ UNIT = 1 << 30
 
 
 def keyed(docs: DataFrame, carry: list[str]) -> DataFrame:
-    """(doc_id, size, text_crc32, key, range, carried) for every row; at first all rows are one range."""
+    """(doc_id, size, text_crc32, key, copies, range, carried) for the different rows; at first all are one range."""
     text = F.col("text").cast("string")
     checksum = F.crc32(F.coalesce(text, F.lit("")).cast("binary"))
     doc_id = F.col("doc_id").cast("bigint")
-    return docs.select(
+    rows = docs.select(
         doc_id.alias("doc_id"),
         (F.coalesce(F.octet_length(text), F.lit(0)).cast("bigint") + 1).alias("size"),
         checksum.alias("text_crc32"),
-        (checksum * F.lit(1 << 31) + F.pmod(F.xxhash64(doc_id), F.lit(1 << 31))).alias("key"),
-        F.lit(0).cast("bigint").alias("range"),
         *([F.struct(*carry).alias("carried")] if carry else []),
     )
+    if carry:  # what is carried may tell rows apart, so each stays one
+        rows = rows.withColumn("copies", F.lit(1).cast("bigint"))
+    else:
+        rows = rows.groupBy("doc_id", "size", "text_crc32").agg(F.count("*").alias("copies"))
+    key = F.col("text_crc32") * F.lit(1 << 31) + F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31))
+    return rows.select("doc_id", "size", "text_crc32", key.alias("key"), "copies", F.lit(0).cast("bigint").alias("range"), *(["carried"] if carry else []))
 
 
 def _splitters(rows: DataFrame, ranges: DataFrame) -> DataFrame:
@@ -44,7 +49,7 @@ def _splitters(rows: DataFrame, ranges: DataFrame) -> DataFrame:
     above the range's lowest is a cut too: it parts a key that would fill all quantiles from what follows.
     """
     inside = rows.join(ranges, "range")
-    expected = (F.col("size") / F.col("bytes") + 1 / F.col("n")) * F.lit(SAMPLES / 2.0)
+    expected = (F.col("size") * F.col("copies") / F.col("bytes") + 1 / F.col("n")) * F.lit(SAMPLES / 2.0)
     chance = F.pmod(F.xxhash64("doc_id", "text_crc32", "range"), F.lit(UNIT)) / F.lit(float(UNIT))
     weight = F.floor(expected) + (chance < expected - F.floor(expected)).cast("bigint")
     drawn = inside.select("range", "key", weight.alias("weight")).where("weight > 0")
@@ -65,7 +70,7 @@ def ranged(rows: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     """Stored rows with finer values of ``range``: numbers in key order, no range of more than ``range_rows`` rows unless its keys are all equal."""
     level = 0
     while True:
-        sums = rows.groupBy("range").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), F.min("key").alias("lo"), F.max("key").alias("hi"))
+        sums = rows.groupBy("range").agg(F.count("*").alias("n"), F.sum(F.col("size") * F.col("copies")).alias("bytes"), F.min("key").alias("lo"), F.max("key").alias("hi"))
         over = stored(sums.where((F.col("n") > range_rows) & (F.col("lo") < F.col("hi"))).select("range", "n", "bytes", "lo"), "overfull")
         if not over.take(1):
             return rows
@@ -91,7 +96,7 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, carry: list[str] | No
     """
     rows = stored(keyed(docs, carry or []), "sharding-keys")
     rows = ranged(rows, range_rows)
-    sums = stored(rows.groupBy("range").agg(F.count("*").alias("n"), F.sum("size").alias("bytes")), "ranges")
+    sums = stored(rows.groupBy("range").agg(F.sum("copies").alias("n"), F.sum(F.col("size") * F.col("copies")).alias("bytes")), "ranges")
     before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # one thin row for each range
     whole = Window.partitionBy()
     offsets = sums.select(
@@ -102,8 +107,10 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, carry: list[str] | No
     )
     within = Window.partitionBy("range").orderBy("key", "doc_id", "size")
     upto = within.rowsBetween(Window.unboundedPreceding, -1)
-    start = F.col("bytes_before") + F.coalesce(F.sum("size").over(upto), F.lit(0))
-    placed = rows.join(offsets, "range").withColumns({"middle": start * 2 + F.col("size"), "rank": F.col("rows_before") + F.row_number().over(within) - 1})
+    start = F.col("bytes_before") + F.coalesce(F.sum(F.col("size") * F.col("copies")).over(upto), F.lit(0))
+    placed = rows.join(offsets, "range").withColumns({"start": start, "rank": F.col("rows_before") + F.coalesce(F.sum("copies").over(upto), F.lit(0))})
+    placed = placed.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("copies") - 1)))
+    placed = placed.withColumns({"middle": (F.col("start") + F.col("copy") * F.col("size")) * 2 + F.col("size"), "rank": F.col("rank") + F.col("copy")})
     shard = F.least(F.lit(shards - 1), F.floor(F.col("middle") * F.lit(shards) / (F.col("bytes_all") * 2))).cast("int")
     columns = ["doc_id", "size", "text_crc32", "rank", shard.alias("shard"), *(["carried"] if carry else [])]
     placed = stored(placed.select(*columns), "sharded")
