@@ -79,3 +79,46 @@ def test_rotation_gives_balanced_codes(d):
     r = embeddings.learn_rotation(x)
     share = (x @ r >= 0).mean(axis=0)
     assert r.shape == (d, 64) and (abs(share - 0.5) < 0.1).all()
+
+
+def test_pairs_of_blocks_whatever_the_batches():
+    """Buckets of any size, cut by batches anywhere: candidates within NEAR bits, and all pairs of blocks of a crowd."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    sizes = [1, 2, 40, 600, 3, 513, 512, 1500, 1, 700]
+    keys = np.repeat(np.arange(len(sizes)), sizes)
+    codes = rng.integers(0, 1 << 62, len(keys))
+    blocks = rng.integers(0, 30, len(keys))
+    want = set()
+    for k, size in enumerate(sizes):
+        c, b = codes[keys == k], blocks[keys == k]
+        near = np.bitwise_count(c[:, None] ^ c[None, :]) <= embeddings.NEAR
+        for i, j in zip(*np.nonzero(np.triu(near | (size > embeddings.CROWD), 1))):
+            want.add((min(b[i], b[j]), max(b[i], b[j])))
+    for least in (1, 97, 100_000):
+        batches = [pa.RecordBatch.from_arrays([pa.array(c[lo : lo + 50]) for c in (keys, codes, blocks)], names=["key", "code", "block"]) for lo in range(0, len(keys), 50)]
+        some = embeddings._some
+        embeddings._some = lambda b, least=least: some(b, least)
+        try:
+            found = {(a, b) for out in embeddings._pair_batches(iter(batches)) for a, b in zip(*(c.to_pylist() for c in out.columns))}
+        finally:
+            embeddings._some = some
+        assert found - {(b, b) for b in range(30)} == {p for p in want if p[0] != p[1]} and {p for p in want if p[0] == p[1]} <= found
+
+
+def test_a_bucket_of_a_million_vectors_takes_little_memory():
+    import resource
+
+    import pyarrow as pa
+
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+
+    def batches():
+        for lo in range(0, 1_000_000, 50_000):
+            at = np.arange(lo, lo + 50_000)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(at), np.int64)), pa.array(at), pa.array(at // embeddings.BLOCK // 16)], names=["key", "code", "block"])
+
+    n = 1_000_000 // embeddings.BLOCK // 16 + 1
+    assert sum(len(b) for b in embeddings._pair_batches(batches())) == n * (n + 1) // 2
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 300_000

@@ -6,7 +6,7 @@ under its substring and all that differ from it in one bit, so two vectors meet
 in at most two bits. Vectors that meet and whose codes are near are candidates. The rerank is exact: candidates name pairs of blocks of up to BLOCK
 vectors that stand together in code order, and all pairs of the two blocks are compared by their
 original components. So a dense group costs block pairs, not pairs of rows, and only counts of links and a spanning
-forest leave a task.
+forest leave a task. A bucket of more than CROWD vectors names all pairs of its blocks instead of comparing codes.
 """
 
 from __future__ import annotations
@@ -103,52 +103,88 @@ def _key_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), pa.array(np.repeat(code, each)), pa.array(np.repeat(block, each))], names=["key", "code", "block"])
 
 
-def _pair_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of blocks that hold candidates, from rows sorted by key."""
-    named: set[tuple[int, int]] = set()
+def _some(batches: Iterator[pa.RecordBatch], least: int = 100_000) -> Iterator[np.ndarray]:
+    """The columns (key, code, block) of some ``least`` rows at a time."""
     held: list[np.ndarray] = []
+    for batch in batches:
+        held.append(np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]))
+        if sum(h.shape[1] for h in held) >= least:
+            yield np.concatenate(held, axis=1)
+            held = []
+    if held:
+        yield np.concatenate(held, axis=1)
 
-    def name(a: np.ndarray, b: np.ndarray) -> None:
-        if len(a):
-            named.update(map(tuple, np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0).tolist()))
 
-    def pairs(rows: np.ndarray) -> None:
-        keys, codes, blocks = rows
-        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        size = np.diff(np.append(first, len(keys)))
-        for k in np.flatnonzero(size > CROWD):
-            mine = np.unique(blocks[first[k] : first[k] + size[k]])
-            for i in range(len(mine)):
-                name(np.full(len(mine) - i, mine[i]), mine[i:])
-        of = np.repeat(size, size)
-        after = of - (np.arange(len(keys)) - np.repeat(first, size)) - 1
-        after[of > CROWD] = 0
-        at, lag = np.flatnonzero(after >= 1), 1
-        bits = codes.view(np.uint64)
-        while len(at):
-            hit = at[np.bitwise_count(bits[at] ^ bits[at + lag]) <= NEAR]
-            name(blocks[hit], blocks[hit + lag])
-            lag += 1
-            at = at[after[at] >= lag]
-
-    def out() -> pa.RecordBatch:
-        found = np.array(sorted(named), dtype=np.int64).reshape(-1, 2)
-        named.clear()
-        return pa.RecordBatch.from_arrays([pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy())], names=["a", "b"])
+def _near_blocks(rows: np.ndarray) -> np.ndarray:
+    """Different pairs of blocks (2, n) that hold candidates, of whole buckets of up to CROWD rows."""
+    keys, codes, blocks = rows
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    size = np.diff(np.append(first, len(keys)))
+    after = np.repeat(size, size) - (np.arange(len(keys)) - np.repeat(first, size)) - 1
+    at, lag = np.flatnonzero(after >= 1), 1
+    bits = codes.view(np.uint64)
+    found = [np.zeros((2, 0), np.int64)]
+    while len(at):
+        hit = at[np.bitwise_count(bits[at] ^ bits[at + lag]) <= NEAR]
+        found.append(_pairs(blocks[hit], blocks[hit + lag]))
+        lag += 1
+        at = at[after[at] >= lag]
+    return np.unique(np.concatenate(found, axis=1), axis=1)
 
-    for batch in batches:
-        held.append(np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]))
-        if sum(h.shape[1] for h in held) < 100_000:
-            continue
-        rows = np.concatenate(held, axis=1)
+
+def _pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+
+
+def _crowd_blocks(blocks: np.ndarray) -> Iterator[np.ndarray]:
+    """All pairs of a crowd's blocks, each with itself too, some at a time."""
+    for i in range(len(blocks)):
+        yield np.stack([np.full(len(blocks) - i, blocks[i]), blocks[i:]])
+
+
+def _pair_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of blocks that hold candidates, from rows sorted by key.
+
+    Memory holds some 100 000 rows and, of a bucket that goes on beyond them, its different blocks alone.
+    """
+
+    def out(pairs: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(pairs[0].copy()), pa.array(pairs[1].copy())], names=["a", "b"])
+
+    def finished(rows: np.ndarray) -> Iterator[np.ndarray]:
+        """Whole buckets."""
+        first = np.flatnonzero(np.concatenate([[True], rows[0, 1:] != rows[0, :-1]]))
+        size = np.diff(np.append(first, rows.shape[1]))
+        small = np.repeat(size <= CROWD, size)
+        if small.any():
+            yield _near_blocks(np.ascontiguousarray(rows[:, small]))
+        for k in np.flatnonzero(size > CROWD):
+            yield from _crowd_blocks(np.unique(rows[2, first[k] : first[k] + size[k]]))
+
+    last = np.zeros((3, 0), np.int64)  # the bucket that may go on
+    crowd: np.ndarray | None = None  # its blocks, once it is a crowd
+    for rows in _some(batches):
+        if last.shape[1]:
+            same = int(np.searchsorted(rows[0], last[0, 0], "right")) if rows[0, 0] == last[0, 0] else 0
+            if crowd is not None:
+                crowd = np.unique(np.concatenate([crowd, rows[2, :same]]))
+            else:
+                last = np.concatenate([last, rows[:, :same]], axis=1)
+                if last.shape[1] > CROWD:
+                    crowd, last = np.unique(last[2]), last[:, :1]
+            rows = rows[:, same:]
+            if not rows.shape[1]:
+                continue
+            yield from map(out, finished(last) if crowd is None else _crowd_blocks(crowd))
+            crowd = None
         cut = int(np.searchsorted(rows[0], rows[0, -1], "left"))
-        pairs(np.ascontiguousarray(rows[:, :cut])) if cut else None
-        held = [rows[:, cut:]]
-        if len(named) > 500_000:
-            yield out()
-    if held:
-        pairs(np.ascontiguousarray(np.concatenate(held, axis=1)))
-    yield out()
+        if cut:
+            yield from map(out, finished(rows[:, :cut]))
+        last = rows[:, cut:]
+        if last.shape[1] > CROWD:
+            crowd, last = np.unique(last[2]), last[:, :1]
+    if last.shape[1]:
+        yield from map(out, finished(last) if crowd is None else _crowd_blocks(crowd))
 
 
 def _rerank_batches(least: float):
@@ -232,22 +268,26 @@ def embedding_components(vectors: DataFrame, least: float = LEAST) -> DataFrame:
     """
     spark = vectors.sparkSession
     bounded_batches(spark)
-    rows = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").cast("string").alias("label"))
-    rows = rows.withColumn("cid", F.when(usable(rows), F.xxhash64("label", "embedding")))
-    classes = rows.where("cid is not null").groupBy("cid").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"), F.any_value("label").alias("label"), F.any_value("embedding").alias("vector"))
-    classes = stored(classes, "vector-classes")
-    share = F.pmod(F.xxhash64("cid"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = sorted(classes.select("cid", "vector").where(share * F.lit(classes.count()) < SAMPLE).collect())
-    by: dict[int, list[list[float]]] = {}
-    for r in sample:
-        by.setdefault(len(r["vector"]), []).append(r["vector"])
-    codes = Codes({d: _units(vs) for d, vs in sorted(by.items())})
+    kind = vectors.schema["embedding"].dataType.simpleString()
+    kind = kind if kind in ("array<float>", "array<double>") else "array<double>"  # floats stay as short as they are
+    rows = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast(kind).alias("embedding"), F.col("label").cast("string").alias("label"))
+    content = [F.when(usable(rows), F.xxhash64(F.lit(seed), "label", F.size("embedding"), "embedding")).alias(f"same_{seed}") for seed in (1, 2)]
+    rows = rows.select("*", *content)
+    same = ["same_1", "same_2"]
+    classes = rows.where("same_1 is not null").groupBy(*same).agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"), F.any_value("label").alias("label"), F.any_value("embedding").alias("vector"))
+    classes = stored(classes.withColumn("cid", F.monotonically_increasing_id()), "vector-classes")
+    share = F.pmod(F.col("same_1"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    sample = classes.where(share * F.lit(classes.count()) < SAMPLE).select(*same, "vector").toArrow().sort_by([(c, "ascending") for c in same])["vector"].combine_chunks()
+    sizes = sample.value_lengths().to_numpy(zero_copy_only=False)
+    ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    flat = sample.flatten().to_numpy(zero_copy_only=False)
+    codes = Codes({int(d): _units(flat[ends[:-1][sizes == d][:, None] + np.arange(d)[None, :]]) for d in np.unique(sizes)})
 
     coded = classes.select("cid", "vector").mapInArrow(_code_batches(codes), "cid bigint" + "".join(f", {c} bigint" for c in CODE_NAMES))
     group = F.xxhash64("label", F.size("vector"))
     thin = coded.join(classes.select("cid", group.alias("group")), "cid")
     key = F.pmod("group", F.lit(1 << 11)) * F.lit(1 << 52) + F.shiftrightunsigned("code", 12)
-    thin = stored(thin.select("cid", "group", *CODE_NAMES, key.alias("key"), F.col("cid").alias("doc_id"), F.col("code").alias("text_crc32"), F.lit(1).cast("bigint").alias("size"), F.lit(0).cast("bigint").alias("range")), "vector-codes")
+    thin = stored(thin.select("cid", "group", *CODE_NAMES, key.alias("key"), F.col("cid").alias("doc_id"), F.col("code").alias("text_crc32"), F.lit(1).cast("bigint").alias("size"), F.lit(1).cast("bigint").alias("copies"), F.lit(0).cast("bigint").alias("range")), "vector-codes")
     inside = Window.partitionBy("range").orderBy("key", "cid")
     block = F.col("range") * F.lit(1 << 20) + F.floor((F.row_number().over(inside) - 1) / BLOCK)
     thin = stored(ranged(thin, 20_000).withColumn("block", block.cast("bigint")).select("cid", "group", "block", *CODE_NAMES), "vector-blocks")
@@ -267,6 +307,7 @@ def embedding_components(vectors: DataFrame, least: float = LEAST) -> DataFrame:
     names = known.groupBy("component").agg(F.min("least").alias("component_id"))
     known = known.join(names, "component").join(links, "cid", "left")
     known = known.select("cid", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    out = rows.select("vec_id", "cid").join(known, "cid", "left")
+    known = known.join(classes.select("cid", *same), "cid")
+    out = rows.select("vec_id", *same).join(known, same, "left")
     component = F.when(F.col("cid").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
