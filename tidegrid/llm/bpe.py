@@ -11,13 +11,14 @@ split (copied) only when a merge changes one of its tokens.
 Encoding reads a pre-split word byte by byte with two tables: one of byte transitions, whose nodes tell the arcs that end
 at a position, and that of the classes. Every prefix has one accepted sequence, so at every position exactly one arc may follow
 the state it starts from; it is looked up, and nothing is taken back. Decoding emits the labels of the arcs. The tables are
-compiled once, by the driver, and sent to the workers.
+compiled once, by one task, and sent to the workers.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import pickle
 from collections.abc import Iterator
 from functools import cache
 from itertools import chain, islice
@@ -318,6 +319,34 @@ def read_spec(spark: SparkSession, path: str) -> str:
         return f.read()
 
 
+class Packed:
+    """A pickled object that comes out as the object itself where it is unpickled."""
+
+    def __init__(self, data: bytes) -> None:
+        self.data = data
+
+    def __reduce__(self):
+        return pickle.loads, (self.data,)
+
+
+def _compile_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        made = [pickle.dumps(tokenizer(spec)) for spec in batch.column(0).to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], names=["tokenizer"])
+
+
+_compiled: dict[str, Packed] = {}
+
+
+def compiled(spark: SparkSession, spec: str) -> Packed:
+    """The tables of a tokenizer file: compiled by one task, as that takes some 300 MB, and held packed here, about 23 MB by the vocabulary."""
+    key = hashlib.sha256(spec.encode()).hexdigest()
+    if key not in _compiled:
+        one = spark.createDataFrame([(spec,)], "spec string").mapInArrow(_compile_batches, "tokenizer binary")
+        _compiled[key] = Packed(bytes(one.first()["tokenizer"]))
+    return _compiled[key]
+
+
 def _encode_batches(sent, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made: Tokenizer = sent.value
@@ -354,7 +383,7 @@ def encode_documents(docs: DataFrame, path: str, with_ids: bool = True) -> DataF
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    made = spark.sparkContext.broadcast(tokenizer(read_spec(spark, path)))  # about 40 MB, fixed by the vocabulary
+    made = spark.sparkContext.broadcast(compiled(spark, read_spec(spark, path)))
     thin = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else "")
     return thin.mapInArrow(_encode_batches(made, with_ids), schema)
