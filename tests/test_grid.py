@@ -189,4 +189,24 @@ def test_plans_prune_and_stay_native(spark, tmp_path, cube):
     root = str(tmp_path / "g")
     store.save(Grid(grid.header.copy(root=root), grid.cells))
     plan = store.load(spark, root).window((2, 2), (5, 6), 4, 6)._jdf.queryExecution().toString()
-    assert "PartitionFilters: [isnotnull(time_chunk" in plan and "frac_num" in plan.split("PushedFilters")[1] and "Python" not in plan
+    pruned = plan.split("PartitionFilters: ")[1].split("PushedFilters")[0]
+    assert "isnotnull(time_chunk" in pruned and "frac_range" in pruned and "frac_num" in plan.split("PushedFilters")[1] and "Python" not in plan
+
+
+def test_a_ring_of_ten_thousand_points(cube, spark):
+    """The plan doesn't grow with the ring, and points are judged as by hand."""
+    _, grid, _ = cube
+    turns = np.linspace(0, 2 * np.pi, 10_000, endpoint=False)
+    ring = [(9 + 6 * np.cos(a) * (1 + 0.1 * np.sin(50 * a)), 6 + 5 * np.sin(a)) for a in turns]
+    ring.append(ring[0])
+    got = {(r.x, r.y): r.inside for r in mask.polygon_mask(grid, ring).collect()}
+    assert got == {(x, y): inside_by_hand(x, y, ring) for x in range(19) for y in range(13)} and 60 < sum(got.values()) < 110
+
+
+def test_rings_burn_their_own_values(cube):
+    _, grid, _ = cube
+    h = grid.header
+    corner = lambda x, y: (h.geot[3] + y * h.geot[5], h.geot[0] + x * h.geot[1])
+    square = lambda a, b: [corner(a, a), corner(b, a), corner(b, b), corner(a, b)]
+    got = {(r.x, r.y): r.value for r in mask.rasterize_like(grid, [square(0, 5), square(3, 8)], burn=[7, 9], nodata=-1).collect()}
+    assert got == {(x, y): 9 if 3 <= x < 8 and 3 <= y < 8 else 7 if x < 5 and y < 5 else -1 for x in range(19) for y in range(13)}

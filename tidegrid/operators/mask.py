@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -37,29 +38,48 @@ def _segments(ring: Ring) -> list[tuple[float, float, float, float]]:
     return [(*a, *b) for a, b in zip(ring, ring[1:]) if a != b]
 
 
-def _xor(conditions: list[Column]) -> Column:
-    total = F.lit(0)
-    for c in conditions:
-        total = total + c.cast("int")
-    return total % 2 == 1
+def _bands(segments: list[tuple[float, float, float, float]], low: float, high: float) -> tuple[list[list], float]:
+    """Segments by horizontal bands of equal height that they reach into, and that height: as many bands as keep the whole within twice the ring."""
+    n = max(1, min(1024, len(segments) // 4))
+    while True:
+        height = (high - low) / n or 1.0
+        bands: list[list] = [[] for _ in range(n)]
+        for s in segments:
+            first, last = (min(n - 1, int((y - low) / height)) for y in (min(s[1], s[3]), max(s[1], s[3])))
+            for k in range(first, last + 1):
+                bands[k].append(s)
+        if n == 1 or sum(map(len, bands)) <= 2 * len(segments) + n:
+            return bands, height
+        n //= 2
 
 
 def inside(x: Column | str, y: Column | str, ring: Ring) -> Column:
     """Whether a point is strictly inside a ring: even-odd crossings, and on no edge.
 
     For a grid's integer pixels on an axis-aligned closed rectangle this leaves out the first and last row and
-    column, as erasing a filled polygon's outline does.
+    column, as erasing a filled polygon's outline does. The ring is one literal, whatever its length, and a point is
+    compared with the segments of its own band only.
     """
-    x, y = (F.col(c) if isinstance(c, str) else c for c in (x, y))
-    crossings, on = [], F.lit(False)
-    for ax, ay, bx, by in _segments(ring):
-        cross = (F.lit(float(bx - ax)) * (y - F.lit(float(ay)))) - (F.lit(float(by - ay)) * (x - F.lit(float(ax))))
-        on = on | ((cross == 0) & x.between(min(ax, bx), max(ax, bx)) & y.between(min(ay, by), max(ay, by)))
-        if ay != by:
-            spans = (y >= F.lit(float(min(ay, by)))) & (y < F.lit(float(max(ay, by))))
-            left = cross > 0 if by > ay else cross < 0
-            crossings.append(spans & left)
-    return _xor(crossings) & ~on
+    x, y = ((F.col(c) if isinstance(c, str) else c).cast("double") for c in (x, y))
+    segments = [tuple(map(float, s)) for s in _segments(ring)]
+    if not segments:
+        return F.lit(False)
+    xs, ys = [v for s in segments for v in (s[0], s[2])], [v for s in segments for v in (s[1], s[3])]
+    low, high = min(ys), max(ys)
+    bands, height = _bands(segments, low, high)
+    table = F.from_json(F.lit(json.dumps(bands)), "array<array<array<double>>>")  # folded to a literal
+    mine = F.get(table, F.least(F.lit(len(bands) - 1), F.floor((y - F.lit(low)) / F.lit(height)).cast("int")))
+
+    def step(found: Column, s: Column) -> Column:
+        ax, ay, bx, by = (F.get(s, F.lit(k)) for k in range(4))
+        cross = (bx - ax) * (y - ay) - (by - ay) * (x - ax)
+        on = (cross == 0) & x.between(F.least(ax, bx), F.greatest(ax, bx)) & y.between(F.least(ay, by), F.greatest(ay, by))
+        crossed = (y >= F.least(ay, by)) & (y < F.greatest(ay, by)) & F.when(by > ay, cross > 0).otherwise(cross < 0)
+        return F.struct((found["odd"] != crossed).alias("odd"), (found["on"] | on).alias("on"))
+
+    start = F.struct(F.lit(False).alias("odd"), F.lit(False).alias("on"))
+    known = F.aggregate(mine, start, step, lambda found: found["odd"] & ~found["on"])
+    return F.when(x.between(min(xs), max(xs)) & y.between(low, high), known).otherwise((x.isNull() | y.isNull()) & F.lit(None).cast("boolean"))
 
 
 def outline(ring: Ring) -> list[tuple[int, int]]:
@@ -118,17 +138,23 @@ def fracs_for_polygon(grid: Grid, ring_xy: Ring) -> list[int]:
     return grid.header.fracs_for_rect(x0, y0, x1, y1)
 
 
-def rasterize_like(model: Grid, rings: list[Ring], projection: str | None = None, burn: int = 1, nodata: int = 0, all_touched: bool = False) -> DataFrame:
-    """(y, x, value): ``burn`` where a pixel's centre lies in one of the rings (lat, lng), else ``nodata``.
+def rasterize_like(model: Grid, rings: list[Ring], projection: str | None = None, burn: int | list[int] = 1, nodata: int = 0, all_touched: bool = False) -> DataFrame:
+    """(y, x, value): what a ring burns where a pixel's centre lies in one of the rings (lat, lng), else ``nodata``.
 
-    With ``all_touched`` a pixel counts as soon as one of its corners or its centre does.
+    ``burn`` is one value or one for each ring, such as an attribute's; a later ring covers an earlier one. With
+    ``all_touched`` a pixel counts as soon as one of its corners or its centre does.
     """
     h = model.header
+    burns = burn if isinstance(burn, list) else [burn] * len(rings)
+    if len(burns) != len(rings):
+        raise ValueError("a value for each ring is needed")
     pixels = model.scaffold((0, 0), (h.width, h.height), 0, 1).select("y", "x")
     offsets = [(0.5, 0.5), *([(0.0, 0.0), (1.0, 0.0), (0.0, 1.0), (1.0, 1.0)] if all_touched else [])]
-    hit = F.lit(False)
-    for dx, dy in offsets:
-        lat, lng = geo.xy_to_latlng(F.col("x") + F.lit(dx), F.col("y") + F.lit(dy), h.geot, projection or h.projection, 0.0)
-        for ring in rings:
+    places = [geo.xy_to_latlng(F.col("x") + F.lit(dx), F.col("y") + F.lit(dy), h.geot, projection or h.projection, 0.0) for dx, dy in offsets]
+    value = F.lit(nodata)
+    for ring, mine in zip(rings, burns):
+        hit = F.lit(False)
+        for lat, lng in places:
             hit = hit | inside(lat, lng, ring)
-    return pixels.withColumn("value", F.when(hit, F.lit(burn)).otherwise(F.lit(nodata)))
+        value = F.when(hit, F.lit(mine)).otherwise(value)
+    return pixels.withColumn("value", value)
