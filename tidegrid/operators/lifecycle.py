@@ -5,10 +5,11 @@ Each works on cells, and only on those of the chunks that it touches.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -115,8 +116,9 @@ def map_fractions(grids: list[Grid], names: list[str], output: Header, map_fn: C
     """New cells (y, x, t, value, frac_num, time_chunk) of an output grid: ``map_fn`` over dense fractions of all inputs.
 
     For each fraction that all inputs have and ``done`` lacks, ``map_fn`` gets an array (height, width, dates) for each input, filled
-    with its no-data value, and returns one for the output. Only fractions to do are read. A fraction is bounded by the header,
-    so a worker holds one at a time, whatever the grid's size.
+    with its no-data value, and returns one for the output. Only fractions to do are read. Cells become arrays chunk by
+    chunk, in the stored type, and chunks move as bytes: a worker holds a fraction's arrays, some rows of the output's
+    cells, and never its cells as rows.
     """
     _check(grids)
     first = grids[0].header
@@ -127,30 +129,45 @@ def map_fractions(grids: list[Grid], names: list[str], output: Header, map_fn: C
         todo = todo.join(complete, "frac_num", "left_anti")
     parts = None
     for i, grid in enumerate(grids):
-        mine = grid.cells.join(todo, "frac_num", "left_semi").select("frac_num", F.lit(i).alias("input"), "y", "x", "t", F.col("value").cast("double").alias("value"))
+        mine = _chunk_bytes(Grid(grid.header, grid.cells.join(todo, "frac_num", "left_semi"))).withColumn("input", F.lit(i))
         parts = mine if parts is None else parts.unionByName(mine)
     headers = [g.header for g in grids]
 
-    def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        fy, fx = divmod(int(key[0]), first.num_x_fracs)
-        y0, x0 = fy * first.frac_height, fx * first.frac_width
-        arrays = []
-        for i, h in enumerate(headers):
-            mine = rows[rows["input"] == i]
-            array = np.full((h.frac_height, h.frac_width, h.ndates), h.fill, dtype=np.float64)
-            array[mine["y"] - y0, mine["x"] - x0, mine["t"]] = mine["value"]
-            arrays.append(array.astype(np.dtype(h.dtype)))
-        out = np.asarray(map_fn(arrays))
-        out = out[:, :, None] if out.ndim == 2 else out
-        if out.shape != (output.frac_height, output.frac_width, output.ndates):
-            raise ValueError(f"map_fn returned {out.shape}")
-        y, x, t = (a.reshape(-1) for a in np.indices(out.shape))
-        return pd.DataFrame({"y": (y + y0).astype("int32"), "x": (x + x0).astype("int32"), "t": t.astype("int32"), "value": out.reshape(-1).astype("float64")})
-
-    cells = parts.groupBy("frac_num").applyInPandas(one, "y int, x int, t int, value double")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrays: list[np.ndarray | None] = []
+        at = None
+        for batch in batches:
+            for frac, chunk, k, raw in zip(*(batch.column(n) for n in ("frac_num", "time_chunk", "input", "data"))):
+                if frac.as_py() != at:
+                    if at is not None:
+                        yield from _output_cells(at, arrays, output, map_fn)
+                    at, arrays = frac.as_py(), [np.full((h.frac_height, h.frac_width, h.ndates), h.fill, dtype=np.dtype(h.dtype)) for h in headers]
+                h = headers[k.as_py()]
+                t0, t1 = h.frac_time_range(chunk.as_py())
+                arrays[k.as_py()][:, :, t0:t1] = np.frombuffer(raw.as_buffer(), np.dtype(h.dtype)).reshape(h.frac_height, h.frac_width, t1 - t0)
+        if at is not None:
+            yield from _output_cells(at, arrays, output, map_fn)
+
+    dealt = parts.repartition("frac_num").sortWithinPartitions("frac_num", "input", "time_chunk")
+    cells = dealt.mapInArrow(run, "y int, x int, t int, value double")
     return keyed_cells(cells.withColumn("value", F.col("value").cast(output.value_type)), output)
 
 
+def _output_cells(frac: int, arrays: list[np.ndarray], output: Header, map_fn: Callable[[list[np.ndarray]], np.ndarray], slice_cells: int = 1 << 19) -> Iterator[pa.RecordBatch]:
+    """The cells of what ``map_fn`` returns for a fraction, some rows of pixels at a time."""
+    out = np.asarray(map_fn(arrays))
+    out = out[:, :, None] if out.ndim == 2 else out
+    if out.shape != (output.frac_height, output.frac_width, output.ndates):
+        raise ValueError(f"map_fn returned {out.shape}")
+    (x0, _), (y0, _) = output.frac_xyranges(frac)
+    step = max(1, slice_cells // max(1, out.shape[1] * out.shape[2]))
+    for lo in range(0, out.shape[0], step):
+        part = out[lo : lo + step]
+        y, x, t = (a.reshape(-1) for a in np.indices(part.shape, dtype=np.int32))
+        columns = [y + (y0 + lo), x + x0, t]
+        yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int32()) for c in columns), pa.array(part.reshape(-1).astype("f8"))], names=["y", "x", "t", "value"])
+
+
 def map_pixels(grid: Grid, output: Header, expression: Callable, done: DataFrame | None = None) -> DataFrame:
     """The same with a column expression over (value, t): grouped by pixel, in generated code and without Python.
 
@@ -167,21 +184,37 @@ def frac_of_points(points: DataFrame, header: Header, x: str = "x", y: str = "y"
     return points.withColumn("frac_num", F.when(inside, frac_for_xy(x, y, header.frac_width, header.frac_height, header.num_x_fracs)))
 
 
+def _dense_chunk(rows: pd.DataFrame, header: Header) -> tuple[int, int, np.ndarray]:
+    """(frac_num, time_chunk, array) of one chunk's cells."""
+    frac, chunk = int(rows["frac_num"].iloc[0]), int(rows["time_chunk"].iloc[0])
+    (x0, _), (y0, _) = header.frac_xyranges(frac)
+    t0, t1 = header.frac_time_range(chunk)
+    array = np.full((header.frac_height, header.frac_width, t1 - t0), header.fill, dtype=np.dtype(header.dtype))
+    array[rows["y"] - y0, rows["x"] - x0, rows["t"] - t0] = rows["value"]
+    return frac, chunk, array
+
+
 def chunk_arrays(grid: Grid) -> DataFrame:
     """(frac_num, time_chunk, h, w, nd, data): each stored chunk as a dense array, time innermost, no-data filled."""
     header = grid.header
-    kind = grid.header.value_type
     ship_package(grid.spark)
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
-        frac, chunk = int(rows["frac_num"].iloc[0]), int(rows["time_chunk"].iloc[0])
-        (x0, _), (y0, _) = header.frac_xyranges(frac)
-        t0, t1 = header.frac_time_range(chunk)
-        array = np.full((header.frac_height, header.frac_width, t1 - t0), header.fill, dtype=np.dtype(header.dtype))
-        array[rows["y"] - y0, rows["x"] - x0, rows["t"] - t0] = rows["value"]
+        frac, chunk, array = _dense_chunk(rows, header)
         return pd.DataFrame({"frac_num": [frac], "time_chunk": [chunk], "h": [array.shape[0]], "w": [array.shape[1]], "nd": [array.shape[2]], "data": [array.reshape(-1)]})
 
-    return grid.cells.groupBy(*CHUNK).applyInPandas(one, f"frac_num int, time_chunk int, h int, w int, nd int, data array<{kind}>")
+    return grid.cells.groupBy(*CHUNK).applyInPandas(one, f"frac_num int, time_chunk int, h int, w int, nd int, data array<{header.value_type}>")
+
+
+def _chunk_bytes(grid: Grid) -> DataFrame:
+    """(frac_num, time_chunk, data): each stored chunk's dense array as bytes of the stored type."""
+    header = grid.header
+
+    def one(rows: pd.DataFrame) -> pd.DataFrame:
+        frac, chunk, array = _dense_chunk(rows, header)
+        return pd.DataFrame({"frac_num": [frac], "time_chunk": [chunk], "data": [array.tobytes()]})
+
+    return grid.cells.select("frac_num", "time_chunk", "y", "x", "t", "value").groupBy(*CHUNK).applyInPandas(one, "frac_num int, time_chunk int, data binary")
 
 
 def cells_of_chunks(chunks: DataFrame, header: Header, drop_nodata: bool = True) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from tidegrid.operators.grid import Grid, keyed_cells
 from tidegrid.plans.header import Header
-from tidegrid.sources.store import load, write_cells
+from tidegrid.sources.store import CELLS, load, rewrite
 
 
 def cells_of_stream(observations: DataFrame, header: Header) -> DataFrame:
@@ -21,7 +21,7 @@ def cells_of_stream(observations: DataFrame, header: Header) -> DataFrame:
 def ingest(observations: DataFrame, header: Header, checkpoint: str) -> StreamingQuery:
     """Merges a stream of observations into the stored grid at the header's root, batch by batch.
 
-    A batch rewrites only the time chunks that it touches; a later value of a cell replaces the earlier one, so a batch that is
+    A batch rewrites only the time chunks and ranges of fractions that it touches; a later value of a cell replaces the earlier one, so a batch that is
     run again after a failure changes nothing.
     """
 
@@ -29,13 +29,8 @@ def ingest(observations: DataFrame, header: Header, checkpoint: str) -> Streamin
         spark = batch.sparkSession
         grid = load(spark, header.root)
         new = cells_of_stream(batch, header).groupBy("y", "x", "t", "frac_num", "time_chunk").agg(F.max("value").alias("value"))
-        chunks = [r["time_chunk"] for r in new.select("time_chunk").distinct().collect()]  # time chunks of one batch
-        if not chunks:
-            return
-        old = grid.cells.where(F.col("time_chunk").isin(chunks)).join(new.select("y", "x", "t"), ["y", "x", "t"], "left_anti")
-        staged = f"{header.root}/staged-{number}"
-        old.unionByName(new.select(*old.columns)).write.mode("overwrite").parquet(staged)
-        write_cells(Grid(header, spark.read.parquet(staged)), mode="overwrite")
+        old = grid.cells.join(new.select("y", "x", "t"), ["y", "x", "t"], "left_anti")
+        rewrite(Grid(header, old.select(*CELLS).unionByName(new.select(*CELLS))), new)
 
     return observations.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
