@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 from tests.conftest import DATA
+from tidegrid.plans import stored_queries  # noqa: F401  registers its queries
 from tidegrid.plans.queries import QUERIES, SQL
 
 SF = f"{DATA}/sf0.001"

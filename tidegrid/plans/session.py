@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -33,6 +34,27 @@ def build_session(app: str = "tidegrid", master: str | None = None, shuffle_part
     return builder.getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, as the cluster sets it.
+
+    Only where it is unset and all runs in one process, as in tests, a new temporary folder is taken; on a cluster that is an error.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        context = spark.sparkContext
+        if context.getCheckpointDir() is None:
+            if not context.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+            context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tidegrid-"))
+        folder = context.getCheckpointDir()
+    return folder.rstrip("/")
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing else has."""
+    return f"{shared_folder(spark)}/tidegrid/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
 def ship_package(spark: SparkSession) -> None:
     """Sends this package to the executors unless their Python path has it: workers import it by name."""
     root = Path(__file__).resolve().parents[2]

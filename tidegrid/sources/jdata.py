@@ -1,6 +1,6 @@
 """Chunk files: one array file (.npy encoding) for each (fraction, time chunk), as a Spark data source.
 
-``spark.read.format("jdata").load(root)`` gives chunks (frac_num, time_chunk, h, w, nd, data); filters on frac_num and time_chunk
+Values keep the type that the option ``dtype`` names, double without it. ``spark.read.format("jdata").load(root)`` gives chunks (frac_num, time_chunk, h, w, nd, data); filters on frac_num and time_chunk
 are pushed to the file names when ``spark.sql.python.filterPushdown.enabled`` is set, so other files aren't opened.
 """
 
@@ -16,12 +16,20 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 
+from tidegrid.plans.header import SPARK_TYPES
 from tidegrid.plans.session import ship_package
 
-SCHEMA = "frac_num int, time_chunk int, h int, w int, nd int, data array<double>"
+SCHEMA = "frac_num int, time_chunk int, h int, w int, nd int, data array<{}>"
+#: Arrow's types of Spark's value types.
+ARROW = {"smallint": pa.int16(), "int": pa.int32(), "bigint": pa.int64(), "float": pa.float32(), "double": pa.float64(), "boolean": pa.bool_()}
 NAME = re.compile(r"(\d+)\.(\d+)\.jdata$")
 
 
+def value_type(dtype: str) -> str:
+    """Spark's type of a stored type."""
+    return SPARK_TYPES[np.dtype(dtype).str[1:]]
+
+
 def opened(path: str) -> tuple[pa.fs.FileSystem, str]:
     if path.startswith(("file:", "fs://")):
         return pa.fs.LocalFileSystem(), "/" + path.partition(":")[2].lstrip("/")
@@ -58,7 +66,7 @@ class Chunk(InputPartition):
 
 class ChunkReader(DataSourceReader):
     def __init__(self, options: dict) -> None:
-        self.root, self.keep = options["path"].rstrip("/") + "/jdata", []
+        self.root, self.keep, self.kind = options["path"].rstrip("/") + "/jdata", [], value_type(options.get("dtype", "<f8"))
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
         """Comparisons of a key with values are met by file names; Spark keeps all others."""
@@ -87,7 +95,7 @@ class ChunkReader(DataSourceReader):
         frac, chunk = partition.key
         h, w, nd = array.shape
         ints = [pa.array([v], pa.int32()) for v in (frac, chunk, h, w, nd)]
-        yield pa.RecordBatch.from_arrays([*ints, pa.array([array.reshape(-1).astype("f8")], pa.list_(pa.float64()))], names=["frac_num", "time_chunk", "h", "w", "nd", "data"])
+        yield pa.RecordBatch.from_arrays([*ints, pa.array([pa.array(array.reshape(-1)).cast(ARROW[self.kind])], pa.list_(ARROW[self.kind]))], names=["frac_num", "time_chunk", "h", "w", "nd", "data"])
 
 
 class ChunkWriter(DataSourceWriter):
@@ -107,7 +115,7 @@ class JData(DataSource):
         return "jdata"
 
     def schema(self) -> str:
-        return SCHEMA
+        return SCHEMA.format(value_type(self.options.get("dtype", "<f8")))
 
     def reader(self, schema) -> ChunkReader:
         return ChunkReader(self.options)
@@ -122,13 +130,13 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(JData)
 
 
-def read_chunks(spark: SparkSession, root: str) -> DataFrame:
+def read_chunks(spark: SparkSession, root: str, dtype: str = "<f8") -> DataFrame:
     register(spark)
-    return spark.read.format("jdata").load(root)
+    return spark.read.format("jdata").option("dtype", dtype).load(root)
 
 
 def write_chunks(chunks: DataFrame, root: str, dtype: str, frac_ndates: int) -> None:
     """Chunks (frac_num, time_chunk, h, w, nd, data) as files; a retried task writes the same files again, each in one step."""
     register(chunks.sparkSession)
-    rows = chunks.selectExpr("frac_num", "time_chunk", "h", "w", "nd", "cast(data as array<double>) as data")
+    rows = chunks.selectExpr("frac_num", "time_chunk", "h", "w", "nd", f"cast(data as array<{value_type(dtype)}>) as data")
     rows.write.format("jdata").option("dtype", dtype).option("frac_ndates", str(frac_ndates)).mode("append").save(root)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidegrid.functions.dates import format_date, parse_date
 from tidegrid.plans.header import SPARK_TYPES
+from tidegrid.sources.jdata import opened
 
 
 def read_dates(spark: SparkSession, path: str) -> DataFrame:
@@ -19,6 +20,14 @@ def read_dates(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(F.coalesce(parse_date("line"), wrong).alias("ts_ms")).orderBy("ts_ms")
 
 
+def write_bytes(path: str, data: bytes) -> None:
+    """A small file such as a shapefile or raster, on any file system."""
+    system, place = opened(path)
+    system.create_dir(place.rpartition("/")[0], recursive=True)
+    with system.open_output_stream(place, compression=None) as f:
+        f.write(data)
+
+
 def write_dates(dates: DataFrame, path: str) -> None:
     """One file with a line for each date (ts_ms): a list as short as a time axis."""
     dates.select(format_date("ts_ms").alias("value")).orderBy("value").coalesce(1).write.mode("overwrite").text(path)
