@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from itertools import count
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tidegrid.plans.session import ship_package
+from tidegrid.plans.session import new_path, shared_folder, ship_package
 
 #: Rows and bytes in an Arrow batch at most: texts are long, and a batch is held whole.
 BATCH_ROWS, BATCH_BYTES = 500, 32 << 20
@@ -29,27 +27,6 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, as the cluster sets it.
-
-    Only where it is unset and all runs in one process, as in tests, a new temporary folder is taken; on a cluster that is an error.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        held = spark.sparkContext.getCheckpointDir()
-        if held is None:
-            if not spark.sparkContext.master.startswith("local"):
-                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-            spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tidegrid-"))
-            held = spark.sparkContext.getCheckpointDir()
-        folder = held
-    return folder.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/tidegrid/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The rows of ``df`` as a table in the shared folder.
 
