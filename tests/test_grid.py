@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidegrid.functions.geo import GEOGRAPHIC, SINUSOIDAL
+from tidegrid.functions.geo import GEOGRAPHIC, RADIUS, SINUSOIDAL
 from tidegrid.operators import align, lifecycle, mask
 from tidegrid.operators.grid import Grid
 from tidegrid.plans.header import Header
@@ -210,3 +210,28 @@ def test_rings_burn_their_own_values(cube):
     square = lambda a, b: [corner(a, a), corner(b, a), corner(b, b), corner(a, b)]
     got = {(r.x, r.y): r.value for r in mask.rasterize_like(grid, [square(0, 5), square(3, 8)], burn=[7, 9], nodata=-1).collect()}
     assert got == {(x, y): 9 if 3 <= x < 8 and 3 <= y < 8 else 7 if x < 5 and y < 5 else -1 for x in range(19) for y in range(13)}
+
+
+@pytest.mark.parametrize("all_touched", [False, True])
+def test_thousands_of_rings(spark, all_touched):
+    """Rings are rows of a table: the plan doesn't grow with their number, and the last one that holds a place burns it."""
+    rng = np.random.default_rng(4)
+    for projection, scale in (("geographic", 1.0), ("sinusoidal", 111_000.0)):
+        h = Header("r", "", 40, 30, 40, 30, geot=(3 * scale, scale / 10, 0, 50 * scale, 0, -scale / 10), projection=projection)
+        grid = Grid.of(h, spark.createDataFrame([], "y int, x int, t int, value int"))
+
+        def degrees(x, y):
+            px, py = h.geot[0] + x * h.geot[1], h.geot[3] + y * h.geot[5]
+            return (py, px) if projection == "geographic" else (np.degrees(py / RADIUS), np.degrees(px / (RADIUS * np.cos(py / RADIUS))))
+
+        rings = [[tuple(map(float, degrees(x + dx, y + dy))) for dx, dy in rng.uniform(-2, 2, (4, 2))] for x, y in rng.uniform((-3, -3), (43, 33), (1000, 2))]
+        found = mask.rasterize_like(grid, rings, burn=list(range(1, 1001)), nodata=0, all_touched=all_touched)
+        got = {(r.x, r.y): r.value for r in found.collect()}
+        offsets = [(0.5, 0.5), *([(0, 0), (1, 0), (0, 1), (1, 1)] if all_touched else [])]
+        want = {}
+        for y in range(30):
+            for x in range(40):
+                places = [degrees(x + dx, y + dy) for dx, dy in offsets]
+                want[x, y] = next((n + 1 for n in range(999, -1, -1) if any(inside_by_hand(lng, lat, [(b, a) for a, b in [*rings[n], rings[n][0]]]) for lat, lng in places)), 0)
+        assert got == want and len(found._jdf.queryExecution().optimizedPlan().toString()) < 100_000
+    assert {r.value for r in mask.rasterize_like(grid, [], nodata=-5).collect()} == {-5}

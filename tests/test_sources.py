@@ -1,10 +1,12 @@
 import gzip
 import json
+import struct
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidegrid.functions.geo import RADIUS
 from tidegrid.operators import lifecycle
 from tidegrid.operators.grid import Grid
 from tidegrid.plans.header import Header
@@ -106,6 +108,58 @@ def test_shapefiles(spark, tmp_path):
     assert [(p["lng"], p["lat"]) for p in found[0]["ring"]] == [*rings[0], rings[0][0]] and [(p["lng"], p["lat"]) for p in found[1]["ring"]] == rings[1]
 
 
+def test_shapefile_attributes_and_references(spark, tmp_path):
+    rings = [[(1.0, 2.0), (1.0, 5.0), (4.0, 5.0)], [(0.0, 0.0), (0.0, 1.0), (1.0, 1.0), (0.0, 0.0)]]
+    rows = [{"name": "Ünï " + "x" * 300, "kind": 7, "share": 0.25}, {"name": None, "kind": -12, "share": None}]
+    path = str(tmp_path / "a [1].shp")
+    regions.save_shapefile(path, rings, [("name", "str"), ("kind", "int"), ("share", "float")], rows)
+    (tmp_path / "a [1]b.shp").write_bytes(b"another file")
+    found = regions.read_shapes(spark, path).orderBy("number").collect()
+    assert [[(p["lat"], p["lng"]) for p in r["ring"]] for r in found] == [[*rings[0], rings[0][0]], rings[1]]
+    assert found[0]["attributes"] == {"name": ("Ünï " + "x" * 300).encode()[:254].decode(), "kind": "7", "share": "0.250000000"}
+    assert found[1]["attributes"] == {"name": "", "kind": "-12", "share": ""}
+    shp, shx = ((tmp_path / f"a [1].{s}").read_bytes() for s in ("shp", "shx"))
+    for i in range(2):
+        at, words = struct.unpack(">2i", shx[100 + 8 * i : 108 + 8 * i])
+        assert struct.unpack(">2i", shp[2 * at : 2 * at + 8]) == (i + 1, words)
+    assert 2 * struct.unpack(">i", shx[24:28])[0] == len(shx) and 2 * (at + 4 + words) == len(shp)
+    moved = regions.read_shapes(spark, path, "sinusoidal").orderBy("number").first()["ring"][1]
+    assert moved["lat"] == pytest.approx(RADIUS * np.radians(1)) and moved["lng"] == pytest.approx(RADIUS * np.radians(5) * np.cos(np.radians(1)))
+    (tmp_path / "a [1].prj").write_text('PROJCS["UTM zone 18N"]')
+    with pytest.raises(ValueError):
+        regions.read_shapes(spark, path)
+    with pytest.raises(ValueError):
+        regions.read_shapes(spark, str(tmp_path / "nothing.shp"))
+    with pytest.raises(ValueError):
+        regions.write_dbf([("a_long_name_1", "int"), ("a_long_name_2", "int")], [])
+
+
+def test_null_shapes_keep_attributes_in_step(spark, tmp_path):
+    regions.save_shapefile(str(tmp_path / "a.shp"), [[(0.0, 0.0), (0.0, 1.0), (1.0, 1.0)]] * 2, [("k", "int")], [{"k": 1}, {"k": 2}])
+    raw = bytearray((tmp_path / "a.shp").read_bytes())
+    raw[108:112] = struct.pack("<i", 0)
+    (tmp_path / "a.shp").write_bytes(bytes(raw))
+    assert [(r["number"], r["attributes"]["k"]) for r in regions.read_shapes(spark, str(tmp_path / "a.shp")).collect()] == [(1, "2")]
+
+
+def test_a_raster_on_another_grid(spark, tmp_path):
+    data = np.array([[0, 1, 2, 9], [3, 4, 9, 5]], "i2")
+    header = Header("t", "", 4, 2, 4, 2, dtype="<i2", geot=(10.0, 1.0, 0, 20.0, 0, -1.0))
+    path = str(tmp_path / "a.tif")
+    (tmp_path / "a.tif").write_bytes(geotiff.write(geotiff.from_window(data, header, (0, 0), 9)))
+    opened = geotiff.open_grid(spark, path).header
+    assert (opened.width, opened.height, opened.nodata, opened.geot, opened.dtype, opened.projection) == (4, 2, 9, header.geot, "<i2", "geographic")
+    found = geotiff.reproject_custom(spark, path, 3, 3, (11.0, 1.0, 0, 20.0, 0, -1.0)).collect()
+    assert {(r.y, r.x): (r.value, r.valid) for r in found} == {(0, 0): (1, True), (0, 1): (2, True), (0, 2): (0, False), (1, 0): (4, True), (1, 1): (0, False), (1, 2): (5, True), **{(2, x): (0, False) for x in range(3)}}
+    zero = geotiff.reproject_file(spark, path, opened).where("y = 0 and x = 0").first()
+    assert (zero.value, zero.valid) == (0, True)
+    halves = geotiff.reproject_custom(spark, path, 2, 1, (10.0, 2.0, 0, 20.0, 0, -2.0), interpolation="average").orderBy("x").collect()
+    assert [(r.value, r.valid) for r in halves] == [(2.0, True), (3.5, True)]
+    (tmp_path / "b.tif").write_bytes((tmp_path / "a.tif").read_bytes())
+    with pytest.raises(ValueError, match="one raster"):
+        geotiff.open_grid(spark, str(tmp_path / "*.tif"))
+
+
 def test_text_sources(spark, tmp_path):
     (tmp_path / "dates.csv").write_text("2000_03_05\n2000_02_18\n")
     dates = text.read_dates(spark, str(tmp_path / "dates.csv"))

@@ -1,8 +1,11 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidegrid.functions.geo import RADIUS
 from tidegrid.operators import lifecycle
 from tidegrid.plans import cubes
+from tidegrid.plans.header import Header
 from tidegrid.sources import tiles
 
 
@@ -50,3 +53,33 @@ def test_stand_ins_and_blanks(spark, observations):
     assert found.count() == 20 and found.select("ndvi", "qa").distinct().collect() == [(-3000, 65535)]
     blank = spark.createDataFrame([("h29v07", 1, 0, 0, 0, 7)], tiles.SCHEMA)
     assert tiles.without_blank(blank).first().ndvi is None
+
+
+def test_both_bands_on_another_grid(observations):
+    """A geographic grid around the tile's first pixels, each value as found by hand; 0 and outside are not valid."""
+    ms = cubes.MONTHS[0]
+    spec = cubes.MODIS
+    left, top = spec.geot[0] + 29 * 4800 * spec.pixel_x, spec.geot[3] + 7 * 4800 * spec.pixel_y
+    lat0 = np.degrees(top / RADIUS)
+    lng0 = np.degrees(left / (RADIUS * np.cos(top / RADIUS)))
+    target = Header("g", "", 12, 8, 12, 8, geot=(lng0 - 0.004, 0.0011, 0, lat0 + 0.003, 0, -0.0013))
+    found = {(r.y, r.x): (r.ndvi, r.qa, r.valid) for r in tiles.reproject_ndvi_qa(observations, "h29v07", ms, target, (0, 0), (12, 8)).collect()}
+    have = {(r.i, r.j): (r.ndvi, r.qa) for r in observations.where(F.col("ts_ms") == ms).collect()}
+    for (y, x), got in found.items():
+        lat, lng = target.geot[3] - 0.0013 * (y + 0.5), target.geot[0] + 0.0011 * (x + 0.5)
+        i = int(np.floor((RADIUS * np.radians(lat) - top) / spec.pixel_y))
+        j = int(np.floor((RADIUS * np.radians(lng) * np.cos(np.radians(lat)) - left) / spec.pixel_x))
+        ndvi, qa = have.get((i, j), (0, 0))
+        assert got == (ndvi, qa, ndvi != 0)
+    assert len(found) == 96 and 0 < sum(v for _, _, v in found.values()) < 96
+
+
+def test_many_tiles_at_once(spark, tmp_path, observations):
+    path = str(tmp_path / "tiles")
+    tiles.write_tiles(observations, path)
+    ndvi, qa = cubes.NDVI.copy(root=str(tmp_path / "ndvi")), cubes.QA.copy(root=str(tmp_path / "qa"))
+    with pytest.raises(ValueError, match="h30v07"):
+        tiles.import_tiles(spark, path, ["h29v07", "h30v07"], ndvi, qa)
+    assert not (tmp_path / "ndvi").exists()
+    grids = tiles.import_tiles(spark, path, ["h29v07"], ndvi, qa)
+    assert [g.cells.count() for g in grids] == [80, 80]

@@ -17,6 +17,15 @@ def _col(c: Column | str | float) -> Column:
     return F.col(c) if isinstance(c, str) else F.lit(c) if isinstance(c, (int, float)) else c
 
 
+def projection_of(sr_wkt: str) -> str:
+    """The projection that a spatial reference's text names; none is geographic."""
+    if "sinusoidal" in sr_wkt.lower():
+        return SINUSOIDAL
+    if sr_wkt.lstrip().upper().startswith("PROJCS"):
+        raise ValueError("only geographic and sinusoidal references are known")
+    return GEOGRAPHIC
+
+
 def project(lat: Column | str, lng: Column | str, projection: str) -> tuple[Column, Column]:
     """Projected (X, Y) of degrees."""
     lat, lng = _col(lat), _col(lng)

@@ -53,6 +53,20 @@ def _bands(segments: list[tuple[float, float, float, float]], low: float, high:
         n //= 2
 
 
+def _held(x: Column, y: Column, segments: Column) -> Column:
+    """Whether a point is strictly inside what an array of segments [ax, ay, bx, by] encloses."""
+
+    def step(found: Column, s: Column) -> Column:
+        ax, ay, bx, by = (F.get(s, F.lit(k)) for k in range(4))
+        cross = (bx - ax) * (y - ay) - (by - ay) * (x - ax)
+        on = (cross == 0) & x.between(F.least(ax, bx), F.greatest(ax, bx)) & y.between(F.least(ay, by), F.greatest(ay, by))
+        crossed = (y >= F.least(ay, by)) & (y < F.greatest(ay, by)) & F.when(by > ay, cross > 0).otherwise(cross < 0)
+        return F.struct((found["odd"] != crossed).alias("odd"), (found["on"] | on).alias("on"))
+
+    start = F.struct(F.lit(False).alias("odd"), F.lit(False).alias("on"))
+    return F.aggregate(segments, start, step, lambda found: found["odd"] & ~found["on"])
+
+
 def inside(x: Column | str, y: Column | str, ring: Ring) -> Column:
     """Whether a point is strictly inside a ring: even-odd crossings, and on no edge.
 
@@ -69,16 +83,7 @@ def inside(x: Column | str, y: Column | str, ring: Ring) -> Column:
     bands, height = _bands(segments, low, high)
     table = F.from_json(F.lit(json.dumps(bands)), "array<array<array<double>>>")  # folded to a literal
     mine = F.get(table, F.least(F.lit(len(bands) - 1), F.floor((y - F.lit(low)) / F.lit(height)).cast("int")))
-
-    def step(found: Column, s: Column) -> Column:
-        ax, ay, bx, by = (F.get(s, F.lit(k)) for k in range(4))
-        cross = (bx - ax) * (y - ay) - (by - ay) * (x - ax)
-        on = (cross == 0) & x.between(F.least(ax, bx), F.greatest(ax, bx)) & y.between(F.least(ay, by), F.greatest(ay, by))
-        crossed = (y >= F.least(ay, by)) & (y < F.greatest(ay, by)) & F.when(by > ay, cross > 0).otherwise(cross < 0)
-        return F.struct((found["odd"] != crossed).alias("odd"), (found["on"] | on).alias("on"))
-
-    start = F.struct(F.lit(False).alias("odd"), F.lit(False).alias("on"))
-    known = F.aggregate(mine, start, step, lambda found: found["odd"] & ~found["on"])
+    known = _held(x, y, mine)
     return F.when(x.between(min(xs), max(xs)) & y.between(low, high), known).otherwise((x.isNull() | y.isNull()) & F.lit(None).cast("boolean"))
 
 
@@ -144,17 +149,41 @@ def rasterize_like(model: Grid, rings: list[Ring], projection: str | None = None
     ``burn`` is one value or one for each ring, such as an attribute's; a later ring covers an earlier one. With
     ``all_touched`` a pixel counts as soon as one of its corners or its centre does.
     """
-    h = model.header
+    h, projection = model.header, projection or model.header.projection
     burns = burn if isinstance(burn, list) else [burn] * len(rings)
     if len(burns) != len(rings):
         raise ValueError("a value for each ring is needed")
+    kind = "double" if any(isinstance(b, float) for b in [*burns, nodata]) else "int" if all(abs(b) < 1 << 31 for b in [*burns, nodata]) else "bigint"
     pixels = model.scaffold((0, 0), (h.width, h.height), 0, 1).select("y", "x")
+    rows = [(n, mine, [[float(v) for v in (s[1], s[0], s[3], s[2])] for s in _segments(ring)]) for n, (ring, mine) in enumerate(zip(rings, burns))]
+    shapes = model.spark.createDataFrame([r for r in rows if r[2]], f"n int, burn {kind}, segments array<array<double>>")
     offsets = [(0.5, 0.5), *([(0.0, 0.0), (1.0, 0.0), (0.0, 1.0), (1.0, 1.0)] if all_touched else [])]
-    places = [geo.xy_to_latlng(F.col("x") + F.lit(dx), F.col("y") + F.lit(dy), h.geot, projection or h.projection, 0.0) for dx, dy in offsets]
-    value = F.lit(nodata)
-    for ring, mine in zip(rings, burns):
-        hit = F.lit(False)
-        for lat, lng in places:
-            hit = hit | inside(lat, lng, ring)
-        value = F.when(hit, F.lit(mine)).otherwise(value)
-    return pixels.withColumn("value", value)
+
+    def ends(c: Column, k: int) -> tuple[Column, Column]:
+        both = F.transform(c, lambda s: F.least(s[k], s[k + 2])), F.transform(c, lambda s: F.greatest(s[k], s[k + 2]))
+        return F.array_min(both[0]), F.array_max(both[1])
+
+    def reach(low: Column, high: Column, size: int) -> Column:
+        return F.sequence(F.greatest(F.lit(0), F.floor(low).cast("int") - 1), F.least(F.lit(size - 1), F.floor(high).cast("int") + 1))
+
+    def latitude(dy: float) -> Column:
+        return geo.xy_to_latlng(F.lit(0), F.col("y") + F.lit(dy), h.geot, projection, 0.0)[0]
+
+    # Each ring is cut into rows of pixels, dealt evenly, that keep the segments which they meet, so a pixel is compared with few of them.
+    south, north = ends(F.col("segments"), 1)
+    across = [geo.pixel_position(lat, F.lit(0.0), h.geot, projection)[1] for lat in (south, north)]
+    low, high = F.least(*across), F.greatest(*across)
+    strips = shapes.where((low < h.height + 1) & (high > -1)).withColumn("y", F.explode(reach(low, high, h.height))).repartition("n", "y")
+    strips = strips.withColumns({"top": F.greatest(latitude(0.0), latitude(1.0)), "bottom": F.least(latitude(0.0), latitude(1.0))})
+    meets = F.filter("segments", lambda s: (F.least(s[1], s[3]) <= F.col("top")) & (F.greatest(s[1], s[3]) >= F.col("bottom")))
+    strips = strips.select("n", "burn", "y", meets.alias("segments")).where(F.size("segments") > 0)
+    west, east = ends(F.col("segments"), 0)
+    along = [geo.pixel_position(latitude(dy), lng, h.geot, projection)[0] for dy in sorted({dy for _, dy in offsets}) for lng in (west, east)]
+    strips = strips.withColumns({"low": F.least(*along), "high": F.greatest(*along)}).where((F.col("low") < h.width + 1) & (F.col("high") > -1))
+    places = strips.withColumn("x", F.explode(reach(F.col("low"), F.col("high"), h.width)))
+    hit = F.lit(False)
+    for dx, dy in offsets:
+        lat, lng = geo.xy_to_latlng(F.col("x") + F.lit(dx), F.col("y") + F.lit(dy), h.geot, projection, 0.0)
+        hit = hit | _held(lng, lat, F.col("segments"))
+    burnt = places.where(hit).groupBy("y", "x").agg(F.max(F.struct("n", "burn"))["burn"].alias("value"))
+    return pixels.join(burnt, ["y", "x"], "left").withColumn("value", F.coalesce("value", F.lit(nodata).cast(kind)))

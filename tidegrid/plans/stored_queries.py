@@ -147,12 +147,56 @@ def geojson_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT CAST(y AS INT) AS y, CAST(x AS INT) AS x, CASE WHEN x < 6 AND y < 10 THEN 3 WHEN x >= 8 AND x < 12 AND y >= 20 AND y < 40 THEN 5 ELSE 0 END AS value FROM range(0, 100) a(y), range(0, 15) b(x)")
 def rasterize_shapefile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Polygons of a shapefile burnt by a value of each."""
+    """Polygons of a shapefile burnt by an attribute of each."""
     path = new_path(spark, "shapes") + "/a.shp"
-    text.write_bytes(path, regions.write_shapefile([[(-75.0, 10.0), (-72.0, 10.0), (-72.0, 5.0), (-75.0, 5.0)], [(-71.0, 0.0), (-69.0, 0.0), (-69.0, -10.0), (-71.0, -10.0)]]))
-    found = regions.read_shapefile(spark, path, "shapes").orderBy("name").collect()
-    rings = [[(p["lat"], p["lng"]) for p in r["ring"]] for r in found]
-    return mask.rasterize_like(cubes.events(spark, sf_dir), rings, burn=[3, 5])
+    rings = [[(10.0, -75.0), (10.0, -72.0), (5.0, -72.0), (5.0, -75.0)], [(0.0, -71.0), (0.0, -69.0), (-10.0, -69.0), (-10.0, -71.0)]]
+    regions.save_shapefile(path, rings, [("kind", "int")], [{"kind": 3}, {"kind": 5}])
+    return regions.rasterize_shapefile(cubes.events(spark, sf_dir), path, "kind")
+
+
+@query("""WITH k AS (SELECT * FROM (VALUES (0, 0, 0), (1, 0, 1), (2, 1, 1), (3, 1, 0), (4, 0, 0)) v(i, dy, dx))
+SELECT n_name AS name, CAST(n_nationkey AS BIGINT) AS key, CAST(i AS INT) AS i, round(n_nationkey * 3.0::DOUBLE - 40 + dy, 6) AS lat, round(n_nationkey * 7.0::DOUBLE - 80 + dx, 6) AS lng FROM nation, k""")
+def shapefile_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A box and the attributes of each nation through a shapefile of another projection, read back in degrees."""
+    nations = cubes.table(spark, sf_dir, "nation").select("n_nationkey", "n_name").orderBy("n_nationkey").collect()
+
+    def corner(n: int, dy: int, dx: int) -> tuple[float, float]:
+        lat, lng = np.radians(n * 3.0 - 40 + dy), np.radians(n * 7.0 - 80 + dx)
+        return float(geo.RADIUS * lat), float(geo.RADIUS * lng * np.cos(lat))
+
+    rings = [[corner(r["n_nationkey"], dy, dx) for dy, dx in ((0, 0), (0, 1), (1, 1), (1, 0))] for r in nations]
+    path = new_path(spark, "shapes") + "/nations.shp"
+    regions.save_shapefile(path, rings, [("name", "str"), ("key", "int")], [{"name": r["n_name"], "key": r["n_nationkey"]} for r in nations], 'PROJCS["Sinusoidal"]')
+    points = regions.read_shapes(spark, path).select("attributes", F.posexplode("ring").alias("i", "p"))
+    return points.select(F.col("attributes")["name"].alias("name"), F.col("attributes")["key"].cast("bigint").alias("key"), "i", F.round("p.lat", 6).alias("lat"), F.round("p.lng", 6).alias("lng"))
+
+
+@query(f"""WITH {GRID_CLASS_SQL}, t AS (SELECT CAST(y AS INT) AS y, CAST(x AS INT) AS x FROM range(0, 210) a(y), range(0, 40) b(x))
+SELECT t.y, t.x, CASE WHEN value IS NULL OR value = 255 THEN 0 ELSE value END AS value, value IS NOT NULL AND value <> 255 AS valid
+FROM t LEFT JOIN full_ f ON f.y = t.y // 2 AND f.x = t.x // 2""")
+def geotiff_onto_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A TIFF file on a finer grid that reaches beyond it, by one call."""
+    found = geotiff.reproject_custom(spark, _raster(spark, sf_dir), 40, 210, (-75.0, 0.25, 0.0, 10.0, 0.0, -0.25))
+    return found.withColumn("value", F.col("value").cast("int"))
+
+
+@query(f"""WITH {OBSERVATIONS_SQL}, t AS (SELECT CAST(y AS INT) AS y, CAST(x AS INT) AS x FROM range(38400, 38600) a(y), range(28800, 29100) b(x))
+SELECT t.y, t.x, coalesce(ndvi, 0) AS ndvi, coalesce(qa, 0) AS qa, coalesce(ndvi, 0) <> 0 AS valid
+FROM t LEFT JOIN (SELECT * FROM obs WHERE tile = 'h06v08' AND ts_ms = {cubes.MONTHS[2]}) o ON o.i = t.y - 38400 AND o.j = t.x - 28800""")
+def tile_reprojected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiles.reproject_ndvi_qa(cubes.observations(spark, sf_dir), "h06v08", cubes.MONTHS[2], cubes.NDVI, (28800, 38400), (29100, 38600))
+
+
+@query(f"""WITH {OBSERVATIONS_SQL}, d AS (SELECT * FROM (VALUES {", ".join(f"({t}, {ms})" for t, ms in enumerate(cubes.MONTHS))}) v(t, ts_ms)),
+o AS (SELECT CAST(8 * 4800 + i AS INT) AS y, CAST(CAST(substr(tile, 2, 2) AS INT) * 4800 + j AS INT) AS x, CAST(t AS INT) AS t, ndvi, qa FROM obs JOIN d USING (ts_ms) WHERE tile IN ('h05v08', 'h07v08'))
+SELECT 'ndvi' AS grid, y, x, t, ndvi AS value FROM o UNION ALL SELECT 'qa', y, x, t, qa FROM o""")
+def tiles_imported(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both grids of a list of tiles, stored and read back."""
+    path = new_path(spark, "tiles")
+    tiles.write_tiles(cubes.observations(spark, sf_dir), path)
+    grids = tiles.import_tiles(spark, path, ["h05v08", "h07v08"], cubes.NDVI.copy(root=new_path(spark, "ndvi")), cubes.QA.copy(root=new_path(spark, "qa")))
+    parts = [g.cells.select(F.lit(n).alias("grid"), "y", "x", "t", F.col("value").cast("int").alias("value")) for n, g in zip(("ndvi", "qa"), grids)]
+    return parts[0].unionByName(parts[1])
 
 
 @query(f"WITH {FILES_SQL} SELECT DISTINCT ts_ms FROM files")

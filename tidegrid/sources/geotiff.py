@@ -13,6 +13,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidegrid.functions import geo
+from tidegrid.operators import align
+from tidegrid.operators.grid import Grid
 from tidegrid.plans.header import Header
 from tidegrid.plans.session import ship_package
 
@@ -48,6 +51,17 @@ def _tags(raw: bytes) -> tuple[str, dict[int, tuple]]:
     return order, tags
 
 
+def _place(tags: dict[int, tuple]) -> tuple[tuple[float, ...], float | None, str]:
+    """(geotransform, no-data value, spatial reference) that the tags state."""
+    geot = (0.0, 1.0, 0.0, 0.0, 0.0, 1.0)
+    if SCALE in tags and TIEPOINT in tags:
+        (sx, sy, *_), (px, py, _, gx, gy, *_) = tags[SCALE], tags[TIEPOINT]
+        geot = (gx - px * sx, sx, 0.0, gy + py * sy, 0.0, -sy)
+    nodata = float(tags[NODATA][0].rstrip(b"\0 ")) if NODATA in tags else None
+    wkt = tags[GEO_TEXT][0].rstrip(b"\0|").decode("latin-1") if GEO_TEXT in tags else ""
+    return geot, nodata, wkt
+
+
 def read(raw: bytes) -> Raster:
     """The first band of the first image."""
     raw = gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw
@@ -67,13 +81,17 @@ def read(raw: bytes) -> Raster:
         y, x = i // across * bh, i % across * bw
         rows = len(values) // bw
         out[y : y + rows, x : x + bw] = values.reshape(rows, bw)
-    geot = (0.0, 1.0, 0.0, 0.0, 0.0, 1.0)
-    if SCALE in tags and TIEPOINT in tags:
-        (sx, sy, *_), (px, py, _, gx, gy, *_) = tags[SCALE], tags[TIEPOINT]
-        geot = (gx - px * sx, sx, 0.0, gy + py * sy, 0.0, -sy)
-    nodata = float(tags[NODATA][0].rstrip(b"\0 ")) if NODATA in tags else None
-    wkt = tags[GEO_TEXT][0].rstrip(b"\0|").decode("latin-1") if GEO_TEXT in tags else ""
-    return Raster(out[:h, :w], geot, nodata, wkt)
+    return Raster(out[:h, :w], *_place(tags))
+
+
+def describe(raw: bytes, path: str = "raster") -> Header:
+    """The header of a raster as a grid of one fraction, from its tags alone."""
+    raw = gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw
+    order, tags = _tags(raw)
+    h, w = tags[HEIGHT][0], tags[WIDTH][0]
+    geot, nodata, wkt = _place(tags)
+    kind = "<" + {1: "u", 2: "i", 3: "f"}[tags.get(FORMAT, (1,))[0]] + str(tags.get(BITS, (1,))[0] // 8)
+    return Header(path.rpartition("/")[2], path, w, h, w, h, dtype=kind, nodata=nodata, geot=geot, sr_wkt=wkt)
 
 
 def write(raster: Raster) -> bytes:
@@ -151,3 +169,38 @@ def from_window(values: np.ndarray, header: Header, xy_from: tuple[int, int], no
     g = header.geot
     geot = (g[0] + xy_from[0] * g[1], g[1], 0.0, g[3] + xy_from[1] * g[5], 0.0, g[5])
     return Raster(np.asarray(values, dtype=np.int16), geot, header.nodata if nodata is None else nodata, header.sr_wkt)
+
+
+def open_grid(spark: SparkSession, path: str, projection: str | None = None) -> Grid:
+    """A raster file as a grid of one date; ``projection`` overrides what the file says. Only the header comes to the driver."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield pd.DataFrame({"header": [describe(bytes(c), p).to_json() for p, c in zip(frame["path"], frame["content"])]})
+
+    ship_package(spark)
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    found = files.mapInPandas(run, "header string").take(2)
+    if len(found) != 1:
+        raise ValueError(f"one raster is needed at {path}")
+    header = Header.from_json(found[0]["header"], path)
+    header = header.copy(projection=projection or geo.projection_of(header.sr_wkt))
+    cells = read_cells(spark, path, header.value_type).select("y", "x", F.lit(0).alias("t"), "value")
+    return Grid.of(header, cells)
+
+
+def reproject_file(spark: SparkSession, path: str, model: Header, interpolation: str = "near") -> DataFrame:
+    """(y, x, value, valid): a raster file on the pixels of a model, such as ``open_grid(...).header``.
+
+    Where the source has no data or doesn't reach, valid is false and the value 0; a true 0 of the source stays valid.
+    """
+    source = open_grid(spark, path)
+    target = Grid.of(model, source.cells.limit(0).select("y", "x", "t", "value"))
+    found = align.reproject(target, source, (0, 0), (model.width, model.height), interpolation)
+    return found.select("y", "x", F.coalesce("value", F.lit(0).cast(dict(found.dtypes)["value"])).alias("value"), F.col("value").isNotNull().alias("valid"))
+
+
+def reproject_custom(spark: SparkSession, path: str, width: int, height: int, geot: tuple[float, ...], projection: str | None = None, interpolation: str = "near") -> DataFrame:
+    """The same on a grid given by its size and geotransform, in the file's own projection unless another is named."""
+    model = Header("custom", "", width, height, width, height, geot=geot, projection=projection or open_grid(spark, path).header.projection)
+    return reproject_file(spark, path, model, interpolation)

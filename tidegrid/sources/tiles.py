@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 
 from tidegrid.functions.layouts import MODIS, Layout, cell_in_tile, tile_xy
 from tidegrid.functions.names import parse_tile
+from tidegrid.operators.align import reproject_nearest
 from tidegrid.operators.grid import Grid
 from tidegrid.operators.lifecycle import create
 from tidegrid.plans.header import Header
+from tidegrid.sources import store
 
 SCHEMA = "tile string, ts_ms bigint, i int, j int, ndvi int, qa int"
 #: What marks a bad pixel in either band.
@@ -72,6 +74,37 @@ def without_blank(observations: DataFrame) -> DataFrame:
     return observations.withColumn("ndvi", F.nullif("ndvi", F.lit(0)))
 
 
+def reproject_ndvi_qa(observations: DataFrame, tile: str, ts_ms: int, target: Header, xy_from: tuple[int, int], xy_to: tuple[int, int], layout: Layout = MODIS) -> DataFrame:
+    """(y, x, ndvi, qa, valid) of one tile and date on a window of a grid, nearest pixel, both bands by one join.
+
+    Outside the tile, and where nothing is stored, both are 0. An NDVI of 0 can't be told from that, so valid means that it
+    isn't 0; a QA word of 0 is a good pixel, so the same mask serves both.
+    """
+    h, v = int(tile[1:3]), int(tile[4:6])
+    geot = (layout.geot[0] + h * layout.tile_width * layout.pixel_x, layout.pixel_x, 0.0, layout.geot[3] + v * layout.tile_height * layout.pixel_y, 0.0, layout.pixel_y)
+    header = Header(tile, "", layout.tile_width, layout.tile_height, layout.cell_width, layout.cell_height, geot=geot, projection=layout.projection)
+    rows = observations.where((F.col("tile") == tile) & (F.col("ts_ms") == ts_ms))
+    source = Grid.of(header, rows.select(F.col("i").alias("y"), F.col("j").alias("x"), F.lit(0).alias("t"), F.struct("ndvi", "qa").alias("value")))
+    found = reproject_nearest(Grid.of(target, source.cells.limit(0).select("y", "x", "t", "value")), source, xy_from, xy_to)
+    ndvi, qa = (F.coalesce(F.col("value")[c], F.lit(0)).alias(c) for c in ("ndvi", "qa"))
+    return found.select("y", "x", ndvi, qa).withColumn("valid", F.col("ndvi") != 0)
+
+
+def import_tiles(spark: SparkSession, path: str, wanted: list[str], ndvi: Header, qa: Header, layout: Layout = MODIS) -> tuple[Grid, Grid]:
+    """Both grids of a list of tiles, created and stored at their headers' roots by one job a grid, however many tiles there are.
+
+    A tile without any observation is an error before anything is written, as a misspelt name would else leave a hole in the grid.
+    """
+    observations = read_tiles(spark, path).where(F.col("tile").isin(wanted))
+    stamps = list(ndvi.timestamps_ms or ())
+    have = {r["tile"] for r in observations.where(F.col("ts_ms").isin(stamps)).select("tile").distinct().collect()}  # at most those wanted
+    if set(wanted) - have:
+        raise ValueError(f"no observations of {', '.join(sorted(set(wanted) - have))}")
+    for grid in ndvi_qa_grids(observations, ndvi, qa, layout):
+        store.save(grid)
+    return store.load(spark, ndvi.root), store.load(spark, qa.root)
+
+
 def stand_ins(missing: DataFrame, pixels: DataFrame) -> DataFrame:
     """Observations of nothing but bad values for missing (tile, ts_ms), on the pixels (tile, i, j) that a tile has."""
     return missing.select("tile", "ts_ms").join(pixels.select("tile", "i", "j"), "tile").select("tile", "ts_ms", "i", "j", F.lit(BAD_NDVI).alias("ndvi"), F.lit(BAD_QA).alias("qa"))
