@@ -1,3 +1,6 @@
+import math
+import zlib
+
 import numpy as np
 import pytest
 
@@ -36,6 +39,56 @@ def test_held_out_accuracy(spark):
     assert found.count() == spark.read.parquet(f"{sf}/documents.parquet").count()
 
 
+def plain_features(text, n_chars):
+    """{index: value} of a document, by plain loops over its words, characters and lines."""
+    text = text or ""
+    words, raw, lines = text.lower().split(), text.encode("utf-8"), text.split("\n")
+    n, size = max(1, len(words)), max(1, len(raw))
+    upper, lower, digits = (sum(b in kind for b in raw) for kind in (b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz", b"0123456789"))
+    high, white = sum(b > 127 for b in raw), sum(b <= 32 for b in raw)
+    often = {w: words.count(w) for w in set(words)}
+    share = lambda part: int(15 * min(1.0, part))
+    bins = [
+        min(15, int(math.log2(1 + len(words)))),
+        min(15, len(text) // n),
+        share(len(often) / n),
+        share(max(often.values(), default=0) / n),
+        share(upper / max(1, upper + lower)),
+        share(4 * digits / size),
+        share(3 * (len(raw) - upper - lower - digits - high - white) / size),
+        share(sum(not w[-1].isalnum() for w in words) / n),
+        share(8 * len(lines) / n),
+        share(sum(line in lines[:i] for i, line in enumerate(lines)) / len(lines)),
+        share(4 * high / size),
+        0 if n_chars is None else 2 - (n_chars == len(text)),
+        share(sum(a == b for a, b in zip(words, words[1:])) / n),
+    ]
+    hashed = [(zlib.crc32(w.encode()) >> 16, math.log(1 + k)) for w, k in often.items()]
+    length = math.sqrt(sum(v * v for _, v in hashed)) or 1.0
+    return [(i, v / length) for i, v in hashed] + [(65536 + 16 * i + b, 1 / math.sqrt(13)) for i, b in enumerate(bins)]
+
+
+def test_query_equals_brute_force(spark):
+    """Every score is the sigmoid of the machine's sum over all pairs of a document's features, formed one by one."""
+    sf = f"{DATA}/sf0.001"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    machine = quality.learn(docs, labels)
+    w, v = machine.weights.astype(float), machine.factors.astype(float)
+    want = {}
+    for r in docs.collect():
+        x = plain_features(r.text, r.n_chars)
+        index, value = np.array([i for i, _ in x]), np.array([a for _, a in x])
+        rows = v[index] * value[:, None]
+        pairs = sum(float(rows[a] @ rows[a + 1 :].sum(axis=0)) for a in range(len(x)))
+        margin = min(30.0, max(-30.0, machine.bias + float(w[index] @ value) + pairs))
+        want[r.doc_id] = 1 / (1 + math.exp(-margin)), zlib.crc32(str(r.doc_id).encode()) % 5 == 0
+    found = queries.op2_quality_classifier(spark, sf).collect()
+    assert len(found) == len(want) == docs.count()
+    for r in found:
+        score, held_out = want[r.doc_id]
+        assert r.score == pytest.approx(score, abs=1e-6) and r.held_out == held_out and r.predicted == int(r.score >= 0.3)
+
+
 def test_held_out_labels_teach_nothing(spark):
     docs = documents(spark)
     labels = [(i, i % 2) for i in range(25)]
