@@ -182,9 +182,9 @@ def geotiff_onto_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {OBSERVATIONS_SQL}, t AS (SELECT CAST(y AS INT) AS y, CAST(x AS INT) AS x FROM range(38400, 38600) a(y), range(28800, 29100) b(x))
 SELECT t.y, t.x, coalesce(ndvi, 0) AS ndvi, coalesce(qa, 0) AS qa, coalesce(ndvi, 0) <> 0 AS valid
-FROM t LEFT JOIN (SELECT * FROM obs WHERE tile = 'h06v08' AND ts_ms = {cubes.MONTHS[2]}) o ON o.i = t.y - 38400 AND o.j = t.x - 28800""")
+FROM t LEFT JOIN (SELECT * FROM obs WHERE tile = 'h06v08' AND ts_ms = {cubes.MONTHS[4]}) o ON o.i = t.y - 38400 AND o.j = t.x - 28800""")
 def tile_reprojected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tiles.reproject_ndvi_qa(cubes.observations(spark, sf_dir), "h06v08", cubes.MONTHS[2], cubes.NDVI, (28800, 38400), (29100, 38600))
+    return tiles.reproject_ndvi_qa(cubes.observations(spark, sf_dir), "h06v08", cubes.MONTHS[4], cubes.NDVI, (28800, 38400), (29100, 38600))
 
 
 @query(f"""WITH {OBSERVATIONS_SQL}, d AS (SELECT * FROM (VALUES {", ".join(f"({t}, {ms})" for t, ms in enumerate(cubes.MONTHS))}) v(t, ts_ms)),
