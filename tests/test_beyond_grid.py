@@ -33,3 +33,7 @@ def same_as_sql(spark, beyond, name):
 
 def test_round_trip_keeps_to_the_grid(spark, beyond):
     assert max(same_as_sql(spark, beyond, "chunk_round_trip")) == 99
+
+
+def test_stream_takes_all_cells(spark, beyond):
+    assert max(same_as_sql(spark, beyond, "stream_into_grid")) == 100

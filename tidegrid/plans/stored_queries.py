@@ -84,11 +84,11 @@ def chunk_files_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {EVENTS_SQL} SELECT y, x, t, value, frac_num, time_chunk FROM cells")
 def stream_into_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    header = HEADER.copy(root=new_path(spark, "streamed"))
-    store.save_header(spark, header)
     inbox = new_path(spark, "inbox")
     when = F.lit(FIRST_DAY_MS) + F.col("t").cast("bigint") * DAY_MS
     cubes.events(spark, sf_dir).cells.select("x", "y", when.alias("ts_ms"), "value").write.parquet(inbox)
+    header = cubes.covering(HEADER.copy(root=new_path(spark, "streamed")), spark.read.parquet(inbox))
+    store.save_header(spark, header)
     stream = spark.readStream.schema("x int, y int, ts_ms bigint, value bigint").parquet(inbox)
     ingest(stream, header, new_path(spark, "progress")).awaitTermination()
     return store.load(spark, header.root).cells
